@@ -27,8 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Length classes of the linear program are multiples of this; real lengths count again when free space is filled.
-GRID = 16
-ROUNDS = 1500
+GRID = 4
+ROUNDS = 600
 #: Parts into which pieces of one length are ranked.
 SALTS = 64
 
