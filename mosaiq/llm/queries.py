@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import packing
+from mosaiq.llm import packing, simhash
 
 QUERIES = {
     "op4_pack_configuration_lp": packing.op4_pack_configuration_lp,
+    "op10_simhash_byte_index": simhash.op10_simhash_byte_index,
 }
 
 ORACLE_SQL: dict[str, str] = {}
