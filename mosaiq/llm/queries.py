@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import packing, simhash
+from mosaiq.llm import packing, simhash, spotsigs, substring
 
 QUERIES = {
+    "op2_spotsigs": spotsigs.op2_spotsigs,
     "op4_pack_configuration_lp": packing.op4_pack_configuration_lp,
+    "op8_substring_seed_extend": substring.op8_substring_seed_extend,
     "op10_simhash_byte_index": simhash.op10_simhash_byte_index,
 }
 
