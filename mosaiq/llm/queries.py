@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import packing, simhash, spotsigs, substring
+from mosaiq.llm import chat, packing, sharding, simhash, spotsigs, substring, urls
 
 QUERIES = {
     "op2_spotsigs": spotsigs.op2_spotsigs,
+    "op3_path_template_tree": urls.op3_path_template_tree,
     "op4_pack_configuration_lp": packing.op4_pack_configuration_lp,
+    "op6_token_assembly": chat.op6_token_assembly,
+    "op7_label_propagation": sharding.op7_label_propagation,
     "op8_substring_seed_extend": substring.op8_substring_seed_extend,
     "op10_simhash_byte_index": simhash.op10_simhash_byte_index,
 }
