@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import chat, packing, sharding, simhash, spotsigs, substring, urls
+from mosaiq.llm import chat, decontaminate, ngram_quality, packing, sharding, simhash, spotsigs, substring, urls
 
 QUERIES = {
+    "op1_latent_decontamination": decontaminate.op1_latent_decontamination,
     "op2_spotsigs": spotsigs.op2_spotsigs,
     "op3_path_template_tree": urls.op3_path_template_tree,
     "op4_pack_configuration_lp": packing.op4_pack_configuration_lp,
     "op6_token_assembly": chat.op6_token_assembly,
     "op7_label_propagation": sharding.op7_label_propagation,
     "op8_substring_seed_extend": substring.op8_substring_seed_extend,
+    "op9_kneser_ney": ngram_quality.op9_kneser_ney,
     "op10_simhash_byte_index": simhash.op10_simhash_byte_index,
 }
 

@@ -35,7 +35,7 @@ _STRIP = ".,;:!?\"'()[]{}*#$%&|<>/\\-_=+~`@^"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def clean_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, anchor flag and document of each word of all texts, stripped and lower-cased."""
     import xxhash
 
@@ -57,7 +57,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def signature_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct uint32 signatures of each text."""
-    h, anchor, doc = _words(texts)
+    h, anchor, doc = clean_words(texts)
     spots = np.flatnonzero(anchor)
     content = np.flatnonzero(~anchor)
     first = np.searchsorted(content, spots)
