@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import chat, decontaminate, ngram_quality, packing, sharding, simhash, spotsigs, substring, urls
+from mosaiq.llm import chat, decontaminate, ngram_quality, packing, sharding, simhash, spotsigs, substring, token_files, urls
 
 QUERIES = {
     "op1_latent_decontamination": decontaminate.op1_latent_decontamination,
     "op2_spotsigs": spotsigs.op2_spotsigs,
     "op3_path_template_tree": urls.op3_path_template_tree,
     "op4_pack_configuration_lp": packing.op4_pack_configuration_lp,
+    "op5_zstd_dictionary": token_files.op5_zstd_dictionary,
     "op6_token_assembly": chat.op6_token_assembly,
     "op7_label_propagation": sharding.op7_label_propagation,
     "op8_substring_seed_extend": substring.op8_substring_seed_extend,
@@ -16,4 +17,18 @@ QUERIES = {
     "op10_simhash_byte_index": simhash.op10_simhash_byte_index,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_token_assembly": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+safe AS (SELECT *, regexp_replace(text, '(\\*)(### [\pL\pN_]+:|</turn>)', '\\\1\2', 'g') AS written FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(written) + 15) AS BIGINT) AS formatted_chars
+FROM safe GROUP BY conv_id
+""",
+}

@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm import common, graph
@@ -181,3 +181,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 2) -> DataFr
 
 def op10_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, bits: int = 3) -> DataFrame:
+    """The document of smallest doc_id of each component, once; rows without a doc_id, which no link can name, stay."""
+    found = near_duplicates(docs, words=words, bits=bits)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_mq_id")).distinct()
+    kept = docs.where("doc_id is not null").join(first, docs["doc_id"] == first["_mq_id"]).drop("_mq_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return kept.withColumn("_mq_place", place).where("_mq_place = 1").drop("_mq_place").unionByName(docs.where("doc_id is null"))
