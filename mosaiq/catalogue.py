@@ -2,6 +2,83 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "shared_frames"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from mosaiq.operators import capture, detail, sequence
+
+FLAGSHIP = "agreement"
+
+
+def _digits(df):
+    """Doubles rounded to nine digits, so that the order of sums does not show."""
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _over_events(operator):
+    return lambda spark, sf_dir: _digits(operator(capture.capture_of_events(spark.read.parquet(f"{sf_dir}/events.parquet"))))
+
+
+def _order_frames(spark, sf_dir):
+    day = F.date_diff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("job"), day.cast("long").alias("frame"), "o_orderstatus")
+
+
+def _over_orders(operator):
+    return lambda spark, sf_dir: operator(_order_frames(spark, sf_dir).select("job", "frame"))
+
+
+def _pending(spark, sf_dir):
+    rows = _order_frames(spark, sf_dir)
+    return sequence.pending_frames(rows.select("job", "frame"), rows.where("o_orderstatus = 'F'").select("job", "frame").distinct())
+
+
+QUERIES = {
+    **{f.__name__: _over_events(f) for f in (
+        capture.shared_frames, capture.blend, capture.leader_weight, capture.disagreement, capture.agreement, capture.overlap_fraction, capture.harmonise_residual,
+        capture.wrap_seam_error, capture.temporal_step, capture.frame_diff_cut, capture.coverage_by_band, capture.level_bins,
+    )},
+    **{f.__name__: _over_orders(f) for f in (sequence.contiguous_tail, sequence.segment_plan, sequence.interleave_2x, sequence.sampled_gate)},
+    "pending_frames": _pending,
+    "laplacian_8x8": lambda spark, sf_dir: _digits(detail.laplacian(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))),
+}
+
+_CAPTURE = """WITH capture AS (SELECT CAST(day(ts) AS INTEGER) AS frame, CAST(hour(ts) AS INTEGER) AS direction, event_type AS camera,
+  avg(value) AS sample, CAST(count(*) AS DOUBLE) AS weight FROM events GROUP BY ALL),
+blend AS (SELECT frame, direction, sum(sample * weight) / greatest(sum(weight), 1e-6) AS blended FROM capture GROUP BY ALL),
+deviation AS (SELECT frame, direction, count(*) AS n, sqrt(greatest(avg(sample * sample) - avg(sample) * avg(sample), 0)) AS deviation
+  FROM capture GROUP BY ALL HAVING count(*) >= 2)
+"""
+_FRAMES = """WITH base AS (SELECT o_orderpriority AS job, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS frame, o_orderstatus FROM orders),
+frames AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY frame) - 1 AS position FROM (SELECT DISTINCT job, frame FROM base))
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "shared_frames": _CAPTURE + "SELECT frame FROM capture GROUP BY frame HAVING count(DISTINCT camera) = (SELECT count(DISTINCT camera) FROM capture)",
+    "blend": _CAPTURE + "SELECT frame, direction, round(blended, 9) AS blended FROM blend",
+    "leader_weight": _CAPTURE + "SELECT frame, direction, camera AS leader, weight AS leader_weight FROM capture QUALIFY row_number() OVER (PARTITION BY frame, direction ORDER BY weight DESC, camera) = 1",
+    "disagreement": _CAPTURE + "SELECT frame, direction, n, round(deviation, 9) AS deviation FROM deviation",
+    "agreement": _CAPTURE + """SELECT frame, round(median(deviation), 9) AS median, round(avg(deviation), 9) AS mean, round(quantile_cont(deviation, 0.95), 9) AS p95,
+  round(avg(CAST(deviation > 8 AS DOUBLE)), 9) AS large_share, count(*) AS directions, max(n) AS max_contributors,
+  CASE WHEN median(deviation) > 2.5 OR avg(deviation) > 4 THEN 'FAIL' WHEN median(deviation) <= 1 AND avg(deviation) <= 1.5 THEN 'PASS' ELSE 'WARN' END AS verdict
+FROM deviation GROUP BY frame""",
+    "overlap_fraction": _CAPTURE + "SELECT frame, round(avg(CAST(n >= 2 AS DOUBLE)), 9) AS overlap_fraction FROM (SELECT frame, direction, count(*) AS n FROM capture GROUP BY ALL) GROUP BY frame",
+    "harmonise_residual": _CAPTURE + """, cells AS (SELECT camera, CAST(floor(direction / 6) AS INTEGER) AS cell, sum((sample - blended) * weight) AS s, sum(weight) AS w
+  FROM capture JOIN blend USING (frame, direction) GROUP BY ALL)
+SELECT camera, cell, round(greatest(least(s / w, 32.0), -32.0), 9) AS correction FROM cells QUALIFY w > 0.05 * max(w) OVER (PARTITION BY camera)""",
+    "wrap_seam_error": _CAPTURE + "SELECT a.frame, round(abs(a.blended - b.blended), 9) AS seam_error FROM blend a JOIN blend b ON a.frame = b.frame AND a.direction = 0 AND b.direction = 23",
+    "temporal_step": _CAPTURE + """, steps AS (SELECT *, abs(sample - lag(sample) OVER (PARTITION BY camera, direction ORDER BY frame)) AS step FROM capture)
+SELECT camera, direction, round(var_pop(sample), 9) AS variance, round(max(step), 9) AS biggest_step FROM steps GROUP BY ALL""",
+    "frame_diff_cut": _CAPTURE + """, pairs AS (SELECT frame, lead(frame) OVER d AS next_frame, abs(lead(blended) OVER d - blended) AS diff FROM blend WINDOW d AS (PARTITION BY direction ORDER BY frame))
+SELECT frame, next_frame, round(avg(diff), 9) AS difference, avg(diff) > 45 AS is_cut FROM pairs WHERE diff IS NOT NULL GROUP BY ALL""",
+    "coverage_by_band": _CAPTURE + "SELECT camera, band, count(*) AS contributors, round(sum(weight), 9) AS weight FROM (SELECT *, CAST(floor(direction / 6) AS INTEGER) AS band FROM capture) GROUP BY ROLLUP (camera, band)",
+    "level_bins": _CAPTURE + "SELECT CAST(floor(blended / 10) AS INTEGER) AS level_bin, round(avg(sample - blended), 9) AS bias, count(*) AS n FROM capture JOIN blend USING (frame, direction) GROUP BY ALL",
+    "contiguous_tail": _FRAMES + """, islands AS (SELECT job, min(frame) AS first_frame, max(frame) AS last_frame FROM frames GROUP BY job, frame - position)
+SELECT job, first_frame, last_frame FROM islands QUALIFY row_number() OVER (PARTITION BY job ORDER BY last_frame DESC) = 1""",
+    "segment_plan": _FRAMES + "SELECT job, CAST(floor(position / 30) AS INTEGER) AS segment, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS frames FROM frames GROUP BY ALL",
+    "interleave_2x": _FRAMES + """SELECT job, CAST(position * 2 AS INTEGER) AS slot, frame AS before, frame AS after FROM frames UNION ALL
+SELECT job, CAST(position * 2 + 1 AS INTEGER), frame, coalesce(lead(frame) OVER (PARTITION BY job ORDER BY frame), frame) FROM frames""",
+    "sampled_gate": _FRAMES + "SELECT job, frame FROM frames WHERE position % 10 = 0",
+    "pending_frames": _FRAMES + "SELECT DISTINCT job, frame FROM base b WHERE NOT EXISTS (SELECT 1 FROM base f WHERE f.o_orderstatus = 'F' AND f.job = b.job AND f.frame = b.frame)",
+    "laplacian_8x8": """SELECT vec_id, round(sum(abs(v[i - 1] + v[i + 1] + v[i - 8] + v[i + 8] - 4 * v[i])) / 36, 9) AS laplacian
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), (SELECT r * 8 + c + 1 AS i FROM range(1, 7) a(r), range(1, 7) b(c)) GROUP BY vec_id""",
+}
