@@ -2,9 +2,9 @@
 
 Documents with equal texts are linked through a hub per text, so no pair of them is ever listed. Each starts on the shard
 its doc_id hashes to. In every round a hub names the shard that most of its members are on, and members elsewhere ask to
-move there; a shard admits as many as its quota has room for, picked by hash. Rounds end early when none moves. Then the
-rows are ranked by (shard, text, doc_id) and the ranks cut into equal runs: counts differ by one at most, and a group is
-cut only where a run ends.
+move there; a shard admits as many as its quota has room for, picked by hash. Rounds end early when none moves. What
+quotas left outside follows its hub in a last levelling: rows are ranked by (the hub's shard, text, doc_id) and the ranks
+cut into equal runs, so counts differ by one at most and a group is cut only where a run ends.
 
 Defined results: null text counts 0 bytes and equals the empty text; repeated rows are placed each; null doc_ids
 are placed like others; an empty table gives an empty result; other columns are dropped.
@@ -19,7 +19,14 @@ from mosaiq.llm import common
 
 SHARDS = 24
 ROUNDS = 4
-SLACK = 1.02
+SLACK = 1.25
+
+
+def _homes(nodes: DataFrame) -> DataFrame:
+    """The shard that most members of each hub of two or more are on."""
+    votes = nodes.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = votes.groupBy("hub").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("wish"), F.sum("n").alias("all"))
+    return most.where("all > 1").select("hub", "wish")
 
 
 def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
@@ -29,9 +36,7 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slac
     now = common.materialise(nodes.withColumn("label", start), "labels")
     quota = int(now.count() / shards * slack) + 1
     for turn in range(rounds):
-        votes = now.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
-        hubs = votes.groupBy("hub").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("wish"), F.sum("n").alias("all")).where("all > 1").select("hub", "wish")
-        asked = common.materialise(now.join(hubs, "hub", "left").withColumn("wish", F.coalesce("wish", "label")), "wishes")
+        asked = common.materialise(now.join(_homes(now), "hub", "left").withColumn("wish", F.coalesce("wish", "label")), "wishes")
         held = {r["label"]: r["n"] for r in asked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         wanted = {r["wish"]: r["n"] for r in asked.where("wish <> label").groupBy("wish").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not wanted:
@@ -54,6 +59,7 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
         F.xxhash64(text).alias("hub"),
     )
     nodes = propagate(nodes, shards, rounds)
+    nodes = nodes.join(_homes(nodes), "hub", "left").withColumn("label", F.coalesce("wish", "label")).drop("wish")
     ranked, total = common.global_rank(nodes, ["label", "hub", "doc_id"], "ranked")
     least, more = divmod(total, shards)
     edge = more * (least + 1)
