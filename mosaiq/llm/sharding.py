@@ -26,7 +26,23 @@ def _homes(nodes: DataFrame) -> DataFrame:
     """The shard that most members of each hub of two or more are on."""
     votes = nodes.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
     most = votes.groupBy("hub").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("wish"), F.sum("n").alias("all"))
-    return most.where("all > 1").select("hub", "wish")
+    return most.where("all > 1")
+
+
+def _with_wish(nodes: DataFrame, rows: int) -> DataFrame:
+    """nodes with their hub's shard as `wish` (null for hubs of one member).
+
+    Hubs with more than rows / (4 * partitions) members number at most 4 * partitions: that table is broadcast and their
+    members stay where they are. All other hubs are small enough to be shuffled by hub.
+    """
+    spark = nodes.sparkSession
+    homes = common.materialise(_homes(nodes), "homes")
+    large = max(1, rows // (4 * common.shuffle_partitions(spark)))
+    hot = F.broadcast(homes.where(F.col("all") > large).select("hub", "wish"))
+    cold = homes.where(F.col("all") <= large).select("hub", "wish")
+    near = nodes.join(hot, "hub")
+    far = nodes.join(hot, "hub", "left_anti").join(cold, "hub", "left")
+    return near.unionByName(far)
 
 
 def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
@@ -34,9 +50,10 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slac
     spark = nodes.sparkSession
     start = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(shards)).cast("int")
     now = common.materialise(nodes.withColumn("label", start), "labels")
-    quota = int(now.count() / shards * slack) + 1
+    rows = now.count()
+    quota = int(rows / shards * slack) + 1
     for turn in range(rounds):
-        asked = common.materialise(now.join(_homes(now), "hub", "left").withColumn("wish", F.coalesce("wish", "label")), "wishes")
+        asked = common.materialise(_with_wish(now, rows).withColumn("wish", F.coalesce("wish", "label")), "wishes")
         held = {r["label"]: r["n"] for r in asked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         wanted = {r["wish"]: r["n"] for r in asked.where("wish <> label").groupBy("wish").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not wanted:
@@ -59,7 +76,7 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
         F.xxhash64(text).alias("hub"),
     )
     nodes = propagate(nodes, shards, rounds)
-    nodes = nodes.join(_homes(nodes), "hub", "left").withColumn("label", F.coalesce("wish", "label")).drop("wish")
+    nodes = _with_wish(nodes, nodes.count()).withColumn("label", F.coalesce("wish", "label")).drop("wish")
     ranked, total = common.global_rank(nodes, ["label", "hub", "doc_id"], "ranked")
     least, more = divmod(total, shards)
     edge = more * (least + 1)
