@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mosaiq.operators import capture, detail, sequence
+from mosaiq.operators import capture, detail, geometry, sequence
 
 FLAGSHIP = "agreement"
 
@@ -32,7 +32,41 @@ def _pending(spark, sf_dir):
     return sequence.pending_frames(rows.select("job", "frame"), rows.where("o_orderstatus = 'F'").select("job", "frame").distinct())
 
 
+def _views(spark, sf_dir):
+    """A rig from the nations: eight yaws on each of the elevations, one camera a nation; the 25th repeats the first's yaw."""
+    key = F.col("n_nationkey")
+    yaw, elevation = ((key % 8) * 45 + 360 * F.floor(key / 24)).cast("double"), ((F.floor(key / 8) % 3 - 1) * 50).cast("double")
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(key.cast("long").alias("camera"), yaw.alias("yaw"), elevation.alias("elevation"), F.lit(83.0).alias("fov"))
+
+
+def _warp_plan(spark, sf_dir):
+    return geometry.warp_plan(geometry.directions(spark, 96, 48), _views(spark, sf_dir), 8)
+
+
+def _panorama(spark, sf_dir):
+    """Frame f's tile of camera c is vector 25 f + c."""
+    place = F.col("vec_id").cast("long")
+    tiles = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(place / 25).alias("frame"), (place % 25).alias("camera"), F.col("embedding").alias("pixels"))
+    return _digits(geometry.gather(_warp_plan(spark, sf_dir), tiles))
+
+
+def _srgb(spark, sf_dir):
+    return _digits(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", geometry.srgb_encode(F.col("value") / 100).alias("level")))
+
+
+def _moving_mean(spark, sf_dir):
+    return _digits(sequence.moving_mean(spark.read.parquet(f"{sf_dir}/events.parquet"), key="user_id", order=["ts", "event_id"], value="value").drop("ts"))
+
+
 QUERIES = {
+    "warp_plan": lambda spark, sf_dir: _digits(_warp_plan(spark, sf_dir)),
+    "panorama": _panorama,
+    "orientation_groups": lambda spark, sf_dir: geometry.orientation_groups(_views(spark, sf_dir)),
+    "duplicate_views": lambda spark, sf_dir: geometry.duplicate_views(_views(spark, sf_dir)),
+    "srgb_levels": _srgb,
+    "moving_mean_20": _moving_mean,
+    "segment_names": lambda spark, sf_dir: sequence.segment_names(_over_orders(sequence.segment_plan)(spark, sf_dir)),
+    "gradient_8x8": lambda spark, sf_dir: _digits(detail.gradient(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))),
     **{f.__name__: _over_events(f) for f in (
         capture.shared_frames, capture.blend, capture.leader_weight, capture.disagreement, capture.agreement, capture.overlap_fraction, capture.harmonise_residual,
         capture.wrap_seam_error, capture.temporal_step, capture.frame_diff_cut, capture.coverage_by_band, capture.level_bins,
@@ -52,7 +86,32 @@ _FRAMES = """WITH base AS (SELECT o_orderpriority AS job, CAST(date_diff('day',
 frames AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY frame) - 1 AS position FROM (SELECT DISTINCT job, frame FROM base))
 """
 
+_RIG = """WITH views AS (SELECT CAST(n_nationkey AS BIGINT) AS camera, CAST((n_nationkey % 8) * 45 + 360 * (n_nationkey // 24) AS DOUBLE) AS yaw,
+  CAST(((n_nationkey // 8) % 3 - 1) * 50 AS DOUBLE) AS elevation, 83.0::DOUBLE AS fov FROM nation),
+facing AS (SELECT min(camera) AS first_camera, yaw % 360 AS yaw, elevation, count(*) AS cameras FROM views GROUP BY yaw % 360, elevation)
+"""
+_PLAN = _RIG + """, grid AS (SELECT i AS out_index, ((i % 96 + 0.5::DOUBLE) / 96 - 0.5) * radians(360) AS lon, (0.5 - (i // 96 + 0.5::DOUBLE) / 48) * radians(180) AS lat FROM range(96 * 48) r(i)),
+turned AS (SELECT out_index, camera, tan(radians(fov) / 2) AS half, cos(lat) * cos(lon - radians(yaw)) AS level, cos(lat) * sin(lon - radians(yaw)) AS aside,
+  sin(lat) AS up, cos(radians(elevation)) AS ce, sin(radians(elevation)) AS se FROM grid, views),
+plane AS (SELECT out_index, camera, aside / (level * ce + up * se) / half AS u, (level * se - up * ce) / (level * ce + up * se) / half AS v FROM turned WHERE level * ce + up * se > 0),
+plan AS (SELECT out_index, camera, CAST(least(floor((v + 1) * 4), 7) * 8 + least(floor((u + 1) * 4), 7) AS INTEGER) AS source,
+  power(least(1 - abs(u), 1 - abs(v)), 2) + 1e-6 AS weight FROM plane WHERE abs(u) <= 1 AND abs(v) <= 1)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "warp_plan": _PLAN + "SELECT out_index, camera, source, round(weight, 9) AS weight FROM plan",
+    "panorama": _PLAN + """, seen AS (SELECT vec_id // 25 AS frame, out_index, weight, CAST(embedding[source + 1] AS DOUBLE) AS sample FROM plan JOIN embeddings ON vec_id % 25 = camera),
+mixed AS (SELECT frame, out_index, sum(sample * weight) / greatest(sum(weight), 1e-6) AS blended, count(*) AS contributors FROM seen GROUP BY ALL)
+SELECT frame, out_index, round(blended, 9) AS blended, contributors, CAST(round_even(least(greatest(blended, 0), 255), 0) AS INTEGER) AS level FROM mixed""",
+    "orientation_groups": _RIG + "SELECT * FROM facing",
+    "duplicate_views": _RIG + "SELECT camera FROM views WHERE camera NOT IN (SELECT first_camera FROM facing)",
+    "srgb_levels": """SELECT event_id, round(CASE WHEN x IS NULL THEN NULL WHEN isnan(x) OR x <= 0 THEN 0 WHEN x >= 1 THEN 255
+  WHEN x <= 0.0031308 THEN x * 12.92 * 255 ELSE (1.055 * power(x, 1 / 2.4::DOUBLE) - 0.055) * 255 END, 9) AS level FROM (SELECT event_id, value / 100 AS x FROM events)""",
+    "moving_mean_20": "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS recent_mean FROM events",
+    "segment_names": _FRAMES + """, plan AS (SELECT job, CAST(floor(position / 30) AS INTEGER) AS segment, min(frame) AS a, max(frame) AS z FROM frames GROUP BY ALL)
+SELECT job, segment, printf('%s.%04d.%d-%d.mp4', job, segment, a, z) AS name FROM plan""",
+    "gradient_8x8": """SELECT vec_id, round(sum(greatest(abs(v[i + 1] - v[i]), abs(v[i + 8] - v[i]))) / 49, 9) AS gradient
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), (SELECT r * 8 + c + 1 AS i FROM range(0, 7) a(r), range(0, 7) b(c)) GROUP BY vec_id""",
     "shared_frames": _CAPTURE + "SELECT frame FROM capture GROUP BY frame HAVING count(DISTINCT camera) = (SELECT count(DISTINCT camera) FROM capture)",
     "blend": _CAPTURE + "SELECT frame, direction, round(blended, 9) AS blended FROM blend",
     "leader_weight": _CAPTURE + "SELECT frame, direction, camera AS leader, weight AS leader_weight FROM capture QUALIFY row_number() OVER (PARTITION BY frame, direction ORDER BY weight DESC, camera) = 1",

@@ -17,3 +17,15 @@ def laplacian(tiles: DataFrame, *, key: str = "vec_id", values: str = "embedding
 
     total = F.aggregate(F.transform(places, at), F.lit(0.0), lambda a, x: a + x)
     return tiles.withColumn("_v", v).select(key, (total / len(inner)).alias("laplacian"))
+
+
+def gradient(tiles: DataFrame, *, key: str = "vec_id", values: str = "embedding", side: int = 8) -> DataFrame:
+    """Mean over pixels with a right and a lower neighbour of the larger step to either."""
+    inner = [r * side + c for r in range(side - 1) for c in range(side - 1)]
+    places = F.array(*[F.lit(i) for i in inner])
+
+    def step(i):
+        return F.greatest(F.abs(F.get("_v", i + 1) - F.get("_v", i)), F.abs(F.get("_v", i + side) - F.get("_v", i)))
+
+    total = F.aggregate(F.transform(places, step), F.lit(0.0), lambda a, x: a + x)
+    return tiles.withColumn("_v", F.transform(values, lambda x: x.cast("double"))).select(key, (total / len(inner)).alias("gradient"))

@@ -43,3 +43,14 @@ def interleave_2x(frames: DataFrame) -> DataFrame:
 def sampled_gate(frames: DataFrame, *, every: int = 10) -> DataFrame:
     """Frames whose position the gate looks at."""
     return _positions(frames).where(F.col("position") % every == 0).select("job", "frame")
+
+
+def moving_mean(times: DataFrame, *, key: str, order: list[str], value: str, rows: int = 20) -> DataFrame:
+    """Mean of each row's value and the rows - 1 before it within its key."""
+    recent = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - rows, 0)
+    return times.select(key, *order, F.avg(value).over(recent).alias("recent_mean"))
+
+
+def segment_names(plan: DataFrame) -> DataFrame:
+    """File names of planned segments."""
+    return plan.select("job", "segment", F.format_string("%s.%04d.%d-%d.mp4", "job", "segment", "first_frame", "last_frame").alias("name"))
