@@ -29,8 +29,8 @@ SEED = 42
 SHORT_LIST = 48
 
 
-def fingerprint_batch(texts: list[bytes], words: int = 3) -> np.ndarray:
-    """Big-endian fingerprint bytes, (n, 8): a bit is 1 if set in over half of the shingles' XXH64."""
+def shingles(texts: list[bytes], words: int) -> tuple[list[bytes], np.ndarray]:
+    """XXH64 digests of the shingles of all texts in order, and how many each text has."""
     import xxhash
 
     digest, seed = xxhash.xxh64_digest, SEED
@@ -45,6 +45,12 @@ def fingerprint_batch(texts: list[bytes], words: int = 3) -> np.ndarray:
         elif w:
             raw.append(digest(b" ".join(w), seed))
             counts[i] = 1
+    return raw, counts
+
+
+def fingerprint_batch(texts: list[bytes], words: int = 3) -> np.ndarray:
+    """Big-endian fingerprint bytes, (n, 8): a bit is 1 if set in over half of the shingles' XXH64."""
+    raw, counts = shingles(texts, words)
     out = np.zeros((len(texts), 64), dtype=bool)
     if raw:
         bits = np.unpackbits(np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(-1, 8), axis=1)
