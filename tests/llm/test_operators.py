@@ -184,22 +184,70 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    train = spark.createDataFrame([("abracadabra abra",), ("cadabra abba",), (None,), ("",)], "text string")
-    model, unseen = ngram_quality.train(train, order=3)
-    table = {np.uint64(r.h & (1 << 64) - 1): (r.gain, r.back) for r in model.collect()}
-    letters = sorted(set("abracadabra abra cadabra abba"))
-    for context in ("", "ab", "zz", "ra"):
-        total = 0.0
-        for c in [*letters, "?"]:  # "?" stands for every character never seen
-            hashes, _, _ = ngram_quality.grams([context + c], 3)
-            logp = unseen
-            for k in range(1, 4):
-                logp += table.get(hashes[k - 1][-1], (0, 0))[0]
-                if k > 1:
-                    logp += table.get(hashes[k - 2][-2], (0, 0))[1]
-            total += np.exp(logp)
-        assert total == pytest.approx(1.0, abs=1e-9)
+def _plain_kneser_ney(texts, order=5):
+    """Log probability of a word (and whether it repeats the one before) by the textbook formulas, on dictionaries."""
+    mark = lambda x: chr(x)
+    seen = Counter()
+    for t in texts:
+        words = (t or "").split()
+        for at, w in enumerate(words):
+            seen[mark(ngram_quality.AGAIN if at and words[at - 1] == w else ngram_quality.FRESH) + w + mark(ngram_quality.STOP)] += 1
+    raw = {k: Counter() for k in range(1, order + 1)}
+    for w, n in seen.items():
+        s = mark(ngram_quality.EDGE) * (order - 1) + w
+        for i in range(order - 1, len(s)):
+            for k in raw:
+                raw[k][s[i - k + 1 : i + 1]] += n
+    count = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        left = Counter(g[1:] for g in raw[k + 1])
+        count[k] = {g: raw[k][g] if g[0] == mark(ngram_quality.EDGE) else left[g] for g in raw[k]}
+    off = {k: ngram_quality.discounts([sum(1 for v in count[k].values() if v == i) for i in range(1, 5)]) for k in count}
+    kinds = len(count[1]) + 1
+
+    def p(g, c):
+        own = {x[-1]: v for x, v in count[len(c) + 1].items() if x[:-1] == c}
+        lower = p(g, c[1:]) if c else 1 / kinds
+        if not own:
+            return lower
+        d = off[len(c) + 1]
+        total = sum(own.values())
+        return (own.get(g, d[min(own.get(g, 1), 3) - 1]) - d[min(own.get(g, 1), 3) - 1]) / total + sum(d[min(v, 3) - 1] for v in own.values()) / total * lower
+
+    def word(w, again):
+        s = mark(ngram_quality.EDGE) * (order - 1) + mark(ngram_quality.AGAIN if again else ngram_quality.FRESH) + w + mark(ngram_quality.STOP)
+        return sum(np.log(p(s[i], s[i - order + 1 : i])) for i in range(order - 1, len(s)))
+
+    return word, p, sorted({x for x in count[1]})
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    parts = ["ab", "ra", "ca", "da", "é", "x"]
+    text = lambda n: " ".join("".join(rng.choice(parts, int(rng.integers(1, 4)))) for _ in range(n))
+    texts = [text(12) for _ in range(18)] + [None, "", "ab ab  ab\n\tcada", "\x00 odd \ufdd0"]
+    rows = [(i, t, "la") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(18)], "doc_id long, quality int, toxic int")
+    from pyspark.sql import functions as F
+
+    held = {r.doc_id for r in docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(ngram_quality.HELD_OUT)) == 0).collect()}
+    good, p, symbols = _plain_kneser_ney([texts[i] for i in range(18) if i % 3 and i not in held])
+    bad, _, _ = _plain_kneser_ney([texts[i] for i in range(18) if i % 3 == 0 and i not in held])
+    for context in ("", "ab", "zzzz"):
+        assert sum(p(c, context) for c in [*symbols, "?"]) == pytest.approx(1.0)
+    got = {r.doc_id: r for r in ngram_quality.classify(docs, labels).collect()}
+    for i, t in enumerate(texts):
+        words = [w.replace("\0", "\ufffd") for w in (t or "").split(" ")] if i == len(texts) - 1 else (t or "").split()
+        if not words:
+            assert got[i]._mq_logppl is None and got[i]._mq_window is None and got[i]._mq_keep
+            continue
+        again = [bool(k) and words[k - 1] == w for k, w in enumerate(words)]
+        a, b = ([f(w, r) for w, r in zip(words, again)] for f in (good, bad))
+        assert got[i]._mq_logppl == pytest.approx(-sum(a) / sum(len(w) + 2 for w in words), abs=1e-5)
+        gap = np.subtract(b, a)
+        n = min(ngram_quality.WINDOW, len(gap))
+        assert got[i]._mq_window == pytest.approx(max(gap[k : k + n].sum() for k in range(len(gap) - n + 1)), abs=1e-4)
 
 
 def test_classifier(spark, empty):
