@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.llm import common
+from mosaiq.llm.words import clean_words
 
 # Common words of four languages, which anchor signatures.
 ANCHORS = frozenset(
@@ -31,33 +31,12 @@ ANCHORS = frozenset(
     "el los las y se del con su lo es para como".split()
 )
 CHAIN = 2
-_STRIP = ".,;:!?\"'()[]{}*#$%&|<>/\\-_=+~`@^"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def clean_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, anchor flag and document of each word of all texts, stripped and lower-cased."""
-    import xxhash
-
-    lists = pc.utf8_split_whitespace(texts)
-    n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-    d = pc.dictionary_encode(lists.flatten())
-    words = [w.strip(_STRIP).lower() for w in d.dictionary.to_pylist()]
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    anchor = np.array([w in ANCHORS for w in words], dtype=bool)
-    real = np.array([bool(w) for w in words], dtype=bool)
-    codes = d.indices.to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(len(texts)), n)
-    if len(words):
-        keep = real[codes]
-        codes, doc = codes[keep], doc[keep]
-        return hashes[codes], anchor[codes], doc
-    return hashes, anchor, doc
-
-
 def signature_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct uint32 signatures of each text."""
-    h, anchor, doc = clean_words(texts)
+    h, anchor, doc = clean_words(texts, ANCHORS)
     spots = np.flatnonzero(anchor)
     content = np.flatnonzero(~anchor)
     first = np.searchsorted(content, spots)
