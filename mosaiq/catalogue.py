@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mosaiq import catalogue_sources
 from mosaiq.operators import capture, detail, geometry, sequence
 
 FLAGSHIP = "agreement"
@@ -141,3 +142,7 @@ SELECT job, CAST(position * 2 + 1 AS INTEGER), frame, coalesce(lead(frame) OVER
     "laplacian_8x8": """SELECT vec_id, round(sum(abs(v[i - 1] + v[i + 1] + v[i - 8] + v[i + 8] - 4 * v[i])) / 36, 9) AS laplacian
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), (SELECT r * 8 + c + 1 AS i FROM range(1, 7) a(r), range(1, 7) b(c)) GROUP BY vec_id""",
 }
+
+for _part in (catalogue_sources,):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_rows_equal_sql(spark, name):
     db = duckdb.connect()
-    for table in ("events", "orders", "embeddings", "nation"):
+    for table in ("events", "orders", "embeddings", "nation", "customer", "supplier", "part", "lineitem"):
         db.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     want = db.sql(catalogue.ORACLE_SQL[name])
     columns = sorted(want.columns)
