@@ -36,10 +36,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As `materialise`, in buckets of `key`, as many as shuffle partitions: a join by that key leaves this side in place."""
+    spark = df.sparkSession
+    table = f"mosaiq_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(shuffle_partitions(spark), key).saveAsTable(table)
+    return spark.table(table)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most so many rows go to Python at once, where the session leaves Spark's 10,000: texts are long, and each
+    task holds a batch in the JVM, on its way and in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def text_column(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
