@@ -50,7 +50,7 @@ class Reader:
     """Turns ids back into text."""
 
     def __init__(self, path: str):
-        tokenizer = tokens.encoder(path).tokenizer
+        tokenizer = tokens.encoder(path, plain=True).tokenizer
         own = {c: b for b, c in _byte_letters().items()}
         size = tokenizer.get_vocab_size()
         self.bytes = [bytes(own.get(c, 0) for c in tokenizer.id_to_token(i)) if i != 50256 else b"" for i in range(size)]
@@ -71,7 +71,7 @@ def formatted_turns(turns: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFr
     """conv_id, turn, role, key (of the text), ids (uint16), loss_from, loss_to: a row per turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokens.vocabulary(vocabulary)).encode
+        encode = tokens.encoder(tokens.vocabulary(vocabulary), plain=True).encode
         for batch in common.by_bytes(batches, 3, 2 << 20):
             roles = batch.column(2).to_pylist()
             role_ids = encode(pa.array(roles, pa.string()))
@@ -82,6 +82,7 @@ def formatted_turns(turns: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFr
                 names=["conv_id", "turn", "role", "key", "ids", "loss_from", "loss_to"],
             )
 
+    common.text_batches(turns.sparkSession)
     text = common.text_column()
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), common.text_column("role").alias("role"), text.alias("text"), F.xxhash64(text).alias("key"))
     return rows.mapInArrow(run, "conv_id long, turn long, role string, key long, ids binary, loss_from int, loss_to int")

@@ -83,6 +83,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Only doc_id boundaries and one id per bucket come to the driver; texts move in one shuffle.
     """
     spark = docs.sparkSession
+    common.text_batches(spark)
     parts = common.shuffle_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column().alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))

@@ -73,6 +73,7 @@ def write(docs: DataFrame, folder: str, *, vocabulary: str = VOCABULARY) -> Data
     import zstandard
 
     spark = docs.sparkSession
+    common.text_batches(spark)
     width = 2 if tokens.encoder(tokens.vocabulary(vocabulary)).tokenizer.get_vocab_size() <= 1 << 16 else 4
     trained = train_dictionary(docs, vocabulary, width)
     digest = hashlib.sha256(trained).digest()

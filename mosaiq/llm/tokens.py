@@ -14,16 +14,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker process keeps between slices; others are encoded again when they come back.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Words encoded at a time.
+JOINED = 1 << 14
 
 
 class BatchEncoder:
-    def __init__(self, path: str):
+    """Ids as the library gives them; `plain` encodes the strings of special tokens as ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = not plain
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.word_ends = model.get("end_of_word_suffix") == "</w>"
@@ -41,6 +46,8 @@ class BatchEncoder:
         """Ids of each word, from one encoding of all: the marked ids show where a word ends or begins."""
         if not words:
             return []
+        if len(words) > JOINED:  # an encoding takes some hundred bytes a token
+            return [x for a in range(0, len(words), JOINED) for x in self._joined(words[a : a + JOINED])]
         text = " ".join(words) if self.word_ends else "".join([f" {w}" for w in words])
         ids = self.whole([text])[0]
         cuts = np.flatnonzero(self.mark[ids])
@@ -90,8 +97,10 @@ class BatchEncoder:
         return got
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Little-endian uint32 ids of each text; no special tokens are added or recognised."""
+        """Little-endian uint32 ids of each text; no special tokens are added."""
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        if self.special:  # texts that may hold one are encoded whole
+            odd = odd | pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         out: list = [None] * len(texts)
         hard = np.flatnonzero(odd)
         if len(hard):
@@ -129,14 +138,14 @@ class BatchEncoder:
         return out
 
 
-_ENCODERS: dict[str, BatchEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], BatchEncoder] = {}
 
 
-def encoder(path: str) -> BatchEncoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = BatchEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, plain: bool = False) -> BatchEncoder:
+    """One encoder per worker process, file and kind."""
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = BatchEncoder(path, plain)
+    return _ENCODERS[path, plain]
 
 
 def vocabulary(name: str) -> str:

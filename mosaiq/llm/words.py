@@ -18,12 +18,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Strings hashed at a time, which bounds the table of powers.
+PIECE = 1 << 15
+
+
 def string_hashes(strings: pa.Array) -> np.ndarray:
     """A 64-bit hash of each string: a polynomial in its bytes (and their number), mixed."""
+    parts = [_hashes(strings.slice(a, PIECE)) for a in range(0, len(strings), PIECE)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _hashes(strings: pa.Array) -> np.ndarray:
     raw = pc.cast(strings, pa.large_binary())
     edges = np.frombuffer(raw.buffers()[1], "<i8")[raw.offset : raw.offset + len(raw) + 1]
-    if not len(raw):
-        return np.zeros(0, np.uint64)
     data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]].astype(np.uint64) + np.uint64(1)
     start, end = edges[:-1] - edges[0], edges[1:] - edges[0]
     if len(_powers[0]) <= len(data):

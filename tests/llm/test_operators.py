@@ -277,3 +277,15 @@ def test_decontamination(spark, docs, empty):
     assert got == {(50, 0), (51, 1), (52, 6)}
     assert decontaminate.clean(table, bench).count() == len(rows) - 3
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(table, bench.limit(0)).count() == 0
+
+
+def test_special_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|startoftext|>x", "plain", "<| no", "deux  spaces\n<|endoftext|>"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for operator, name, end, column in ((packing.token_pieces, packing.VOCABULARY, 1, "length"), (lambda d: token_files.read(token_files.write(d, common.new_path(spark, "s"))), token_files.VOCABULARY, 2, "n_tokens")):
+        own = Tokenizer.from_file(tokens.vocabulary(name))
+        want = {i: own.encode(t, add_special_tokens=False).ids + [end] for i, t in enumerate(texts)}
+        got = {r.doc_id: (r[column], r.ids_crc32) for r in operator(rows).collect()}
+        assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
