@@ -99,6 +99,16 @@ def bucket_of(column: str, splitters: list[int]):
     return F.when(value.isNull() | (block == 0), 0).otherwise((block - 1) * step + inside)
 
 
+def slot_of(bucket: str, spark: SparkSession):
+    """A number by which `repartition` into the shuffle partitions sends each bucket (from 0) to a partition of its own,
+    while there are as many partitions as buckets: hashing the bucket itself would put several into one."""
+    parts = shuffle_partitions(spark)
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))
+    found = spark.range(32 * parts).groupBy(place.alias("p")).agg(F.min("id").cast("int").alias("id")).collect()  # a row per partition
+    ids = [r["id"] for r in sorted(found, key=lambda r: r["p"])]
+    return F.get(F.array(*[F.lit(i) for i in ids]), F.pmod(F.col(bucket), F.lit(len(ids))).cast("int"))
+
+
 def global_rank(df: DataFrame, keys: list, name: str) -> tuple[DataFrame, int]:
     """Rank rows from 0 by keys without one task seeing all rows.
 

@@ -131,7 +131,11 @@ class Layout:
 
 
 def plan_layout(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID, rounds: int = ROUNDS) -> Layout:
-    """Round the program's solution to whole sequences and list each length's places."""
+    """Round the program's solution to whole sequences and list each length's places.
+
+    Amounts are rounded down, largest first, and what that leaves is placed best-fit; where few sequences are needed most
+    amounts are under one. Should best-fit alone need fewer sequences (rounding lost more than the program won), it stands.
+    """
     grid = max(1, min(grid, capacity // 64))
     left = {n: c for n, c in histogram.items() if c}
     room = capacity // grid
@@ -163,6 +167,10 @@ def plan_layout(histogram: dict[int, int], capacity: int = CAPACITY, grid: int =
                 left[n] -= c * times
             wanted -= times
     _best_fit(kinds, left, capacity)
+    alone: list[tuple[list[int], int]] = []
+    _best_fit(alone, {n: c for n, c in histogram.items() if c}, capacity)
+    if sum(times for _, times in alone) < sum(times for _, times in kinds):
+        kinds = alone
 
     runs: list[tuple[int, int, int, int]] = []
     used: dict[int, int] = {}

@@ -98,7 +98,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     other = F.struct(F.col("_to").alias("b"), F.col("_guest").alias("g"))
     places = F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, other))
     docs = docs.select("doc_id", "text", "_key", F.explode(places).alias("p")).select("doc_id", "text", "_key", F.col("p.b").alias("_bucket"), F.col("p.g").alias("_guest"))
-    return docs.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_guest", "_key", "text")
+    return docs.withColumn("_slot", common.slot_of("_bucket", spark)).repartition(parts, "_slot").sortWithinPartitions("_bucket", "_guest", "_key", "text")
 
 
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

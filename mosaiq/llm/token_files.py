@@ -3,7 +3,7 @@
 Layout of a file: 8 magic bytes, the dictionary's SHA-256, one byte of id width (2 or 4), the compressed documents, the
 index (doc_id, offset and number of ids per document, little-endian int64), the number of documents and the index's
 offset (int64 each). A short document is read by its index entry alone. The dictionary is a file of its own, beside them,
-trained on the ids of at most `SAMPLE` documents of smallest hash, `SAMPLE_BYTES` in all; every document is encoded.
+trained on the ids of at most `SAMPLE` distinct texts of smallest hash among those of at most 2 * `SAMPLE_BYTES` / `SAMPLE` bytes; every document is encoded.
 
 Files lie in the shared folder and hold runs of ascending doc_id, about `FILE_BYTES` each. A task writes under names no
 other attempt uses and the committed manifest alone says which count, so lost or repeated tasks leave no trace in it.
@@ -59,9 +59,10 @@ def train_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY, width: int =
             rows = [x.astype(f"<u{width}").tobytes() for x in _encoded(batch.column(0), vocabulary)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
-    text = common.text_column()
-    short = docs.select(text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES // SAMPLE * 2)
-    rows = short.orderBy(F.xxhash64("text"), "text").limit(SAMPLE).mapInArrow(run, "ids binary").collect()  # at most 2 * SAMPLE_BYTES of text
+    short = docs.select(common.text_column().alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES // SAMPLE * 2).withColumn("k", F.xxhash64("text"))
+    last = short.select("k").orderBy("k").limit(SAMPLE).agg(F.max("k").alias("k")).head()["k"]  # hashes alone go to one task
+    chosen = short.where(F.col("k") <= (F.lit(None).cast("long") if last is None else F.lit(last))).dropDuplicates(["k"])
+    rows = chosen.select("text").mapInArrow(run, "ids binary").collect()  # at most 2 * SAMPLE_BYTES of text
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["ids"]) for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError, ZeroDivisionError):
