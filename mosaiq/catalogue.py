@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mosaiq import catalogue_sources
+from mosaiq import catalogue_probes, catalogue_sources
 from mosaiq.operators import capture, detail, geometry, sequence
 
 FLAGSHIP = "agreement"
@@ -77,7 +77,7 @@ QUERIES = {
     "laplacian_8x8": lambda spark, sf_dir: _digits(detail.laplacian(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))),
 }
 
-_CAPTURE = """WITH capture AS (SELECT CAST(day(ts) AS INTEGER) AS frame, CAST(hour(ts) AS INTEGER) AS direction, event_type AS camera,
+_CAPTURE = """WITH capture AS (SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) * 4 + hour(ts) // 6 AS INTEGER) AS frame, CAST(user_id % 24 AS INTEGER) AS direction, event_type AS camera,
   avg(value) AS sample, CAST(count(*) AS DOUBLE) AS weight FROM events GROUP BY ALL),
 blend AS (SELECT frame, direction, sum(sample * weight) / greatest(sum(weight), 1e-6) AS blended FROM capture GROUP BY ALL),
 deviation AS (SELECT frame, direction, count(*) AS n, sqrt(greatest(avg(sample * sample) - avg(sample) * avg(sample), 0)) AS deviation
@@ -117,10 +117,10 @@ FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), (SELECT
     "blend": _CAPTURE + "SELECT frame, direction, round(blended, 9) AS blended FROM blend",
     "leader_weight": _CAPTURE + "SELECT frame, direction, camera AS leader, weight AS leader_weight FROM capture QUALIFY row_number() OVER (PARTITION BY frame, direction ORDER BY weight DESC, camera) = 1",
     "disagreement": _CAPTURE + "SELECT frame, direction, n, round(deviation, 9) AS deviation FROM deviation",
-    "agreement": _CAPTURE + """SELECT frame, round(median(deviation), 9) AS median, round(avg(deviation), 9) AS mean, round(quantile_cont(deviation, 0.95), 9) AS p95,
-  round(avg(CAST(deviation > 8 AS DOUBLE)), 9) AS large_share, count(*) AS directions, max(n) AS max_contributors,
-  CASE WHEN median(deviation) > 2.5 OR avg(deviation) > 4 THEN 'FAIL' WHEN median(deviation) <= 1 AND avg(deviation) <= 1.5 THEN 'PASS' ELSE 'WARN' END AS verdict
-FROM deviation GROUP BY frame""",
+    "agreement": _CAPTURE + """SELECT c.frame, round(coalesce(median(deviation), 0), 9) AS median, round(coalesce(avg(deviation), 0), 9) AS mean, round(coalesce(quantile_cont(deviation, 0.95), 0), 9) AS p95,
+  round(coalesce(avg(CAST(deviation > 8 AS DOUBLE)), 0), 9) AS large_share, count(deviation) AS directions, max(c.n) AS max_contributors,
+  CASE WHEN median(deviation) > 2.5 OR avg(deviation) > 4 THEN 'FAIL' WHEN coalesce(median(deviation), 0) <= 1 AND coalesce(avg(deviation), 0) <= 1.5 THEN 'PASS' ELSE 'WARN' END AS verdict
+FROM (SELECT frame, direction, count(*) AS n FROM capture GROUP BY ALL) c LEFT JOIN deviation d ON d.frame = c.frame AND d.direction = c.direction GROUP BY c.frame""",
     "overlap_fraction": _CAPTURE + "SELECT frame, round(avg(CAST(n >= 2 AS DOUBLE)), 9) AS overlap_fraction FROM (SELECT frame, direction, count(*) AS n FROM capture GROUP BY ALL) GROUP BY frame",
     "harmonise_residual": _CAPTURE + """, cells AS (SELECT camera, CAST(floor(direction / 6) AS INTEGER) AS cell, sum((sample - blended) * weight) AS s, sum(weight) AS w
   FROM capture JOIN blend USING (frame, direction) GROUP BY ALL)
@@ -131,7 +131,7 @@ SELECT camera, direction, round(var_pop(sample), 9) AS variance, round(max(step)
     "frame_diff_cut": _CAPTURE + """, pairs AS (SELECT frame, lead(frame) OVER d AS next_frame, abs(lead(blended) OVER d - blended) AS diff FROM blend WINDOW d AS (PARTITION BY direction ORDER BY frame))
 SELECT frame, next_frame, round(avg(diff), 9) AS difference, avg(diff) > 45 AS is_cut FROM pairs WHERE diff IS NOT NULL GROUP BY ALL""",
     "coverage_by_band": _CAPTURE + "SELECT camera, band, count(*) AS contributors, round(sum(weight), 9) AS weight FROM (SELECT *, CAST(floor(direction / 6) AS INTEGER) AS band FROM capture) GROUP BY ROLLUP (camera, band)",
-    "level_bins": _CAPTURE + "SELECT CAST(floor(blended / 10) AS INTEGER) AS level_bin, round(avg(sample - blended), 9) AS bias, count(*) AS n FROM capture JOIN blend USING (frame, direction) GROUP BY ALL",
+    "level_bins": _CAPTURE + "SELECT CAST(floor(blended / 10) AS INTEGER) AS level_bin, round(avg(sample - blended), 9) + 0.0 AS bias, count(*) AS n FROM capture JOIN blend USING (frame, direction) GROUP BY ALL",
     "contiguous_tail": _FRAMES + """, islands AS (SELECT job, min(frame) AS first_frame, max(frame) AS last_frame FROM frames GROUP BY job, frame - position)
 SELECT job, first_frame, last_frame FROM islands QUALIFY row_number() OVER (PARTITION BY job ORDER BY last_frame DESC) = 1""",
     "segment_plan": _FRAMES + "SELECT job, CAST(floor(position / 30) AS INTEGER) AS segment, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS frames FROM frames GROUP BY ALL",
@@ -143,6 +143,9 @@ SELECT job, CAST(position * 2 + 1 AS INTEGER), frame, coalesce(lead(frame) OVER
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), (SELECT r * 8 + c + 1 AS i FROM range(1, 7) a(r), range(1, 7) b(c)) GROUP BY vec_id""",
 }
 
-for _part in (catalogue_sources,):
+ORACLE_SQL["sphere_coverage"] = _PLAN + """, seen AS (SELECT out_index, count(DISTINCT camera) AS views FROM plan GROUP BY out_index)
+SELECT views, round(sum(cos((0.5 - (out_index // 96 + 0.5::DOUBLE) / 48) * pi())) / (SELECT sum(cos((0.5 - (i + 0.5::DOUBLE) / 48) * pi())) * 96 FROM range(48) r(i)), 9) AS share FROM seen GROUP BY views"""
+
+for _part in (catalogue_sources, catalogue_probes):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

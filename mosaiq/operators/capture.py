@@ -15,9 +15,11 @@ CORRECTION_LIMIT, COVERAGE_FLOOR, CUT_LEVELS, LARGE_ERROR = 32.0, 0.05, 45.0, 8.
 
 
 def capture_of_events(events: DataFrame) -> DataFrame:
-    """The capture view of an event table: a frame a day of the month, a direction an hour, a camera an event type."""
+    """The capture view of an event table: a frame a quarter of a day since 1970, so frames grow with the time covered, a
+    direction one of 24 groups of users, a camera an event type."""
     when = F.col("ts").cast("timestamp_ntz")
-    return events.groupBy(F.dayofmonth(when).alias("frame"), F.hour(when).alias("direction"), F.col("event_type").alias("camera")).agg(
+    frame = F.date_diff(F.to_date(when), F.lit("1970-01-01").cast("date")) * 4 + F.floor(F.hour(when) / 6).cast("int")
+    return events.groupBy(frame.alias("frame"), (F.col("user_id") % 24).cast("int").alias("direction"), F.col("event_type").alias("camera")).agg(
         F.avg("value").alias("sample"), F.count(F.lit(1)).cast("double").alias("weight")
     )
 
@@ -47,7 +49,8 @@ def disagreement(capture: DataFrame) -> DataFrame:
 
 
 def agreement(capture: DataFrame) -> DataFrame:
-    """Per frame: median, mean, 95th percentile and share of large deviations, and the gate's verdict."""
+    """Per frame: median, mean, 95th percentile and share of large deviations, and the gate's verdict; a frame without any
+    overlap has zeros and passes."""
     out = disagreement(capture).groupBy("frame").agg(
         F.median("deviation").alias("median"),
         F.avg("deviation").alias("mean"),
@@ -56,6 +59,9 @@ def agreement(capture: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("directions"),
         F.max("n").alias("max_contributors"),
     )
+    frames = capture.groupBy("frame", "direction").count().groupBy("frame").agg(F.max("count").alias("most"))
+    zeros = {"median": 0.0, "mean": 0.0, "p95": 0.0, "large_share": 0.0, "directions": 0}
+    out = frames.join(out, "frame", "left").fillna(zeros).withColumn("max_contributors", F.coalesce("max_contributors", "most")).drop("most")
     stop = (F.col("median") > STOP_MEDIAN) | (F.col("mean") > STOP_MEAN)
     fine = (F.col("median") <= PASS_MEDIAN) & (F.col("mean") <= PASS_MEAN)
     return out.withColumn("verdict", F.when(stop, "FAIL").when(fine, "PASS").otherwise("WARN"))
@@ -104,4 +110,4 @@ def coverage_by_band(capture: DataFrame, *, bands: int = 4) -> DataFrame:
 def level_bins(capture: DataFrame, *, width: float = 10.0) -> DataFrame:
     """Bias against the blend by bin of the blended level."""
     rows = capture.join(blend(capture), ["frame", "direction"]).withColumn("level_bin", F.floor(F.col("blended") / width).cast("int"))
-    return rows.groupBy("level_bin").agg(F.avg(F.col("sample") - F.col("blended")).alias("bias"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("level_bin").agg((F.round(F.avg(F.col("sample") - F.col("blended")), 9) + 0.0).alias("bias"), F.count(F.lit(1)).alias("n"))

@@ -25,12 +25,33 @@ def directions(spark: SparkSession, width: int, height: int) -> DataFrame:
     return grid.select("out_index", (F.cos("lat") * F.cos("lon")).alias("vx"), (F.cos("lat") * F.sin("lon")).alias("vy"), F.sin("lat").alias("vz"))
 
 
+def half_extent(fov):
+    """tan(fov / 2) of a field of view in degrees; one outside (0, 180) ends the query."""
+    return F.when((fov > 0) & (fov < 180), F.tan(F.radians(fov) / 2)).otherwise(F.raise_error(F.format_string("a field of view of %s degrees", fov.cast("string"))))
+
+
+def rotations(views: DataFrame) -> DataFrame:
+    """Camera-to-world matrices: turned by yaw after a tilt that looks up for positive elevation."""
+    y, e = F.radians("yaw"), F.radians("elevation")
+    rows = ((F.cos(y) * F.cos(e), -F.sin(y), -F.cos(y) * F.sin(e)), (F.sin(y) * F.cos(e), F.cos(y), -F.sin(y) * F.sin(e)), (F.sin(e), F.lit(0.0), F.cos(e)))
+    return views.select("camera", *[c.alias(f"m{i}{j}") for i, row in enumerate(rows) for j, c in enumerate(row)])
+
+
+def tile_rays(views: DataFrame, size: int) -> DataFrame:
+    """Unit rays (rx forward, ry aside, rz up) of a tile's pixels, in camera axes."""
+    plane = lambda i: (i + 0.5) / size * 2 - 1
+    rows = views.select("camera", half_extent(F.col("fov")).alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size * size - 1).cast("long"))).alias("pixel"))
+    y, z = plane(F.col("pixel") % size) * F.col("h"), -plane(F.floor(F.col("pixel") / size)) * F.col("h")
+    n = F.sqrt(1 + y * y + z * z)
+    return rows.select("camera", "pixel", (1 / n).alias("rx"), (y / n).alias("ry"), (z / n).alias("rz"))
+
+
 def contributors(grid: DataFrame, views: DataFrame) -> DataFrame:
     """(out_index, camera, u, v): where on a view's image plane, from -1 to 1 on both axes, a direction falls; edges count."""
     if views.limit(MOST_VIEWS + 1).count() > MOST_VIEWS:
         raise ValueError(f"a rig has at most {MOST_VIEWS} views")
-    y, e, half = F.radians("yaw"), F.radians("elevation"), F.tan(F.radians("fov") / 2)
-    axes = views.where("fov > 0 and fov < 180").select(
+    y, e, half = F.radians("yaw"), F.radians("elevation"), half_extent(F.col("fov"))
+    axes = views.select(
         "camera", half.alias("half"), F.cos(y).alias("cy"), F.sin(y).alias("sy"), F.cos(e).alias("ce"), F.sin(e).alias("se")
     )
     level = F.col("vx") * F.col("cy") + F.col("vy") * F.col("sy")
