@@ -5,6 +5,8 @@ dates) become wildcards that keep their file extension, and where a node still h
 labelled block share does not differ from the share of all its literal children (a two-proportion z test) merge into one
 wildcard branch. Labels are the verdicts of the rules; a url that no rule fits takes the purity of the deepest template
 on its path that has labels: (blocked + 1) / (labelled + 2), and is blocked at 0.8 or more. A host's root is no template.
+Where no template of the own host has labels, those of all hosts together count, again the deepest. Labels can be given as
+a table (host, path, blocked); else they are the rules' verdicts.
 
 Defined results: null urls and urls without "://" have empty host and path and are allowed; repeated rows are judged
 each; paths deeper than `depth` keep their rest as one last segment; an empty table gives an empty result; other columns
@@ -29,6 +31,8 @@ RULES = (
 DEPTH = 8
 FANOUT = 16
 PURITY = 0.8
+#: Templates of all hosts together that may be broadcast.
+MOST_BROADCAST = 200_000
 _VARIABLE = r"^(?:[0-9]+|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9a-fA-F]*[0-9][0-9a-fA-F]{7,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})((?:\.[A-Za-z0-9]{1,5})?)$"
 
 
@@ -63,13 +67,13 @@ def templates(leaves: DataFrame, *, depth: int = DEPTH, fanout: int = FANOUT) ->
     for d in range(1, deepest + 1):
         here = rows.where(F.col("_n") >= d).select("host", F.slice("template", 1, d - 1).alias("_up"), F.element_at("template", d).alias("_seg"), "labelled", "blocked")
         children = here.where(~F.startswith("_seg", F.lit("*"))).groupBy("host", "_up", "_seg").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        nodes = children.groupBy("host", "_up").agg(F.count(F.lit(1)).alias("kids"), F.sum("l").alias("L"), F.sum("b").alias("B")).where(F.col("kids") > fanout)
+        nodes = children.groupBy("host", "_up").agg(F.count(F.lit(1)).alias("kids"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b")).where(F.col("kids") > fanout)
         if nodes.limit(1).count() == 0:
             continue
-        rest = F.greatest(F.col("L") - F.col("l"), F.lit(1))
-        share = (F.col("B") + 1) / (F.col("L") + 2)
-        z = (F.col("b") / F.greatest("l", F.lit(1)) - (F.col("B") - F.col("b")) / rest) / F.sqrt(share * (1 - share) * (1 / F.greatest("l", F.lit(1)) + 1 / rest))
-        alike = ((F.col("l") > 0) & (F.col("L") > F.col("l")) & (F.abs(z) < 1.96)) | (F.col("L") == 0)
+        rest = F.greatest(F.col("all_l") - F.col("l"), F.lit(1))
+        share = (F.col("all_b") + 1) / (F.col("all_l") + 2)
+        z = (F.col("b") / F.greatest("l", F.lit(1)) - (F.col("all_b") - F.col("b")) / rest) / F.sqrt(share * (1 - share) * (1 / F.greatest("l", F.lit(1)) + 1 / rest))
+        alike = ((F.col("l") > 0) & (F.col("all_l") > F.col("l")) & (F.abs(z) < 1.96)) | (F.col("all_l") == 0)
         merged = children.join(nodes, ["host", "_up"]).where(alike).select("host", "_up", "_seg", F.lit(True).alias("_merge"))
         keyed = rows.withColumn("_up", F.slice("template", 1, d - 1)).withColumn("_seg", F.when(F.col("_n") >= d, F.get("template", F.lit(d - 1))))
         new = F.transform("template", lambda s, i: F.when((i == d - 1) & F.col("_merge").isNotNull(), F.lit("*")).otherwise(s))
@@ -77,13 +81,16 @@ def templates(leaves: DataFrame, *, depth: int = DEPTH, fanout: int = FANOUT) ->
     return rows.drop("_n")
 
 
-def judge(pages: DataFrame, *, rules=RULES, depth: int = DEPTH, fanout: int = FANOUT, purity: float = PURITY) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame | None = None, *, rules=RULES, depth: int = DEPTH, fanout: int = FANOUT, purity: float = PURITY) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every url."""
     host, path = parsed(F.col("url").cast("string"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     seen = seen.withColumns({"rule": rule, "_known": verdict})
     leaves = seen.groupBy("host", "path").agg(F.count("_known").alias("labelled"), F.count_if(F.col("_known") == "block").alias("blocked"))
+    if labels is not None:
+        known = labels.groupBy("host", "path").agg(F.count("blocked").alias("labelled"), F.count_if("blocked").alias("blocked"))
+        leaves = leaves.select("host", "path").join(known, ["host", "path"], "left").fillna(0, ["labelled", "blocked"])
     leaves = common.materialise(templates(leaves, depth=depth, fanout=fanout), "templates")
     prefixes = F.transform(F.sequence(F.lit(1), F.size("template")), lambda i: F.slice("template", F.lit(1), i))
     ends = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
@@ -91,7 +98,13 @@ def judge(pages: DataFrame, *, rules=RULES, depth: int = DEPTH, fanout: int = FA
     nodes = up.groupBy("host", "node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     score = ((F.col("b") + 1) / (F.col("l") + 2)).alias("p")
     best = up.select("host", "template", "node").join(nodes.where("l > 0"), ["host", "node"]).groupBy("host", "template").agg(F.max_by(score, F.size("node")).alias("purity"))
-    judged = leaves.join(best, ["host", "template"], "left").select("host", "path", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.coalesce("purity", F.lit(0.5)).alias("purity"))
+    everywhere = nodes.groupBy("node").agg(F.sum("l").alias("_all"), F.sum("b").alias("_blocked")).where("_all > 0")
+    everywhere = common.materialise(everywhere.select("node", F.col("_all").alias("l"), F.col("_blocked").alias("b")), "everywhere")
+    if everywhere.count() <= MOST_BROADCAST:  # beyond it the join shuffles
+        everywhere = F.broadcast(everywhere)
+    shared = up.select("host", "template", "node").join(everywhere, "node").groupBy("host", "template").agg(F.max_by(score, F.size("node")).alias("shared"))
+    judged = leaves.join(best, ["host", "template"], "left").join(shared, ["host", "template"], "left")
+    judged = judged.select("host", "path", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.coalesce("purity", "shared", F.lit(0.5)).alias("purity"))
     own = F.when(F.col("purity") >= purity, "block").otherwise("allow")
     return seen.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("_known", own).alias("verdict"), "template", "purity")
 
