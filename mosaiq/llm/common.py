@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Folders of tables that pipeline stages wrote, and whether new ones are to be listed there.
+_LEFT: list[str] = []
+_listing = False
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -26,7 +30,30 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/mosaiq-{uuid.uuid4().hex}/{name}"
+    folder = f"{work_dir(spark)}/mosaiq-{uuid.uuid4().hex}"
+    if _listing:
+        _LEFT.append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def listed():
+    """Tables written inside are listed for `drop_listed`."""
+    global _listing
+    before, _listing = _listing, True
+    try:
+        yield
+    finally:
+        _listing = before
+
+
+def drop_listed(spark: SparkSession, docs: DataFrame) -> None:
+    """Remove the listed tables that docs does not read: an earlier stage's, once its result is written and read again."""
+    read = " ".join(docs.inputFiles())
+    for folder in [f for f in _LEFT if f.rsplit("/", 1)[1] not in read]:
+        _LEFT.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
