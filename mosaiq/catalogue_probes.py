@@ -24,7 +24,8 @@ def _tiles(spark, sf_dir):
 
 
 def _of_tiles(**columns):
-    return lambda s, d: _digits(_tiles(s, d).select("vec_id", *[c.alias(n) for n, c in columns.items()]))
+    """Each column is made from the tile t and the place (x, y) when the query runs."""
+    return lambda s, d: _digits(_tiles(s, d).select("vec_id", *[make(F.col("t"), F.col("x"), F.col("y")).alias(n) for n, make in columns.items()]))
 
 
 def _array_of_tiles(name, make):
@@ -51,18 +52,19 @@ def _rotations(s, d):
     return _digits(geometry.rotations(n))
 
 
-_PRICE = {"level": (F.col("l_extendedprice") % 300 - 20), "got": (F.col("l_extendedprice") % 300 - 20 + F.col("l_discount"))}
-
-
 def _lines(s, d):
     k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     return s.read.parquet(f"{d}/lineitem.parquet").select(
-        F.col("l_orderkey").alias("key"), k.alias("line"), F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("quantity"), _PRICE["level"].alias("a"), _PRICE["got"].alias("b"), F.col("l_returnflag").alias("region"))
+        F.col("l_orderkey").alias("key"), k.alias("line"), F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") % 300 - 20).alias("a"), (F.col("l_extendedprice") % 300 - 20 + F.col("l_discount")).alias("b"), F.col("l_returnflag").alias("region"))
 
 
-def _lines_with(**columns):
+def _colours(s, d):
     """Levels to six digits: powers differ in the last ones between engines."""
-    return lambda s, d: _six(_lines(s, d).select("key", "line", *[c.alias(n) for n, c in columns.items()]).groupBy("key", "line").agg(*[F.max(n).alias(n) for n in columns]))
+    a, b, q = F.col("a"), F.col("b"), F.col("quantity")
+    red, green, blue = sampling.rgb_of_ycbcr(a, b, q)
+    columns = {"luma": sampling.luma(a, b, q), "level8": sampling.quantise(a, 8), "level16": sampling.quantise(a, 16), "linear": sampling.srgb_decode(a), "encoded": sampling.srgb_encode_odd(a / 255),
+               "dithered": sampling.dithered(a, q / 51), "red": red, "green": green, "blue": blue}
+    return _six(_lines(s, d).select("key", "line", *[c.alias(n) for n, c in columns.items()]).groupBy("key", "line").agg(*[F.max(n).alias(n) for n in columns]))
 
 
 def _cells(s, d):
@@ -123,25 +125,21 @@ def _coverage(s, d):
     return _digits(probes.sphere_coverage(geometry.contributors(geometry.directions(s, 96, 48), catalogue._views(s, d)), 96, 48))
 
 
-_t, _x, _y = F.col("t"), F.col("x"), F.col("y")
-_peak = [F.get("t", F.lit(i)).cast("double") for i in range(3)]
-_rgb = sampling.rgb_of_ycbcr(F.col("a"), F.col("b"), F.col("quantity"))
 QUERIES = {
     "tile_rays": _rays,
     "rotations": _rotations,
     "sampling_taps": _taps,
-    "bilinear_samples": _of_tiles(level=sampling.bilinear(_t, 8, _x, _y)),
-    "bicubic_samples": _of_tiles(level=sampling.bicubic(_t, 8, _x, _y)),
-    "equirect_samples": _of_tiles(level=sampling.equirect(_t, 8, 8, F.col("lon"), F.col("lat"))),
-    "grid_upsample": _of_tiles(value=sampling.upsample(_t, 8, 8, F.col("vec_id") % 512, 32, 16)),
+    "bilinear_samples": _of_tiles(level=lambda t, x, y: sampling.bilinear(t, 8, x, y)),
+    "bicubic_samples": _of_tiles(level=lambda t, x, y: sampling.bicubic(t, 8, x, y)),
+    "equirect_samples": _of_tiles(level=lambda t, x, y: sampling.equirect(t, 8, 8, F.col("lon"), F.col("lat"))),
+    "grid_upsample": _of_tiles(value=lambda t, x, y: sampling.upsample(t, 8, 8, F.col("vec_id") % 512, 32, 16)),
     "sphere_padding": _array_of_tiles("level", lambda t: sampling.pad_sphere(t, 8, 8, 2, 1)),
     "sphere_crop": _array_of_tiles("level", lambda t: sampling.crop(sampling.pad_sphere(t, 8, 8, 2, 1), 8, 8, 2, 1)),
     "chroma_sited": _array_of_tiles("level", lambda t: sampling.halve_chroma(t, 8, 8)),
     "chroma_boxes": _array_of_tiles("level", lambda t: sampling.halve_chroma(t, 8, 8, sited=False)),
-    "seam_ratios": _of_tiles(ratio=probes.seam_ratio(_t, 8)),
-    "peak_vertices": _of_tiles(vertex=probes.parabola(*_peak)),
-    "colour_levels": _lines_with(luma=sampling.luma(F.col("a"), F.col("b"), F.col("quantity")), level8=sampling.quantise(F.col("a"), 8), level16=sampling.quantise(F.col("a"), 16), linear=sampling.srgb_decode(F.col("a")),
-                                 encoded=sampling.srgb_encode_odd(F.col("a") / 255), dithered=sampling.dithered(F.col("a"), F.col("quantity") / 51), red=_rgb[0], green=_rgb[1], blue=_rgb[2]),
+    "seam_ratios": _of_tiles(ratio=lambda t, x, y: probes.seam_ratio(t, 8)),
+    "peak_vertices": _of_tiles(vertex=lambda t, x, y: probes.parabola(*[F.get(t, F.lit(i)).cast("double") for i in range(3)])),
+    "colour_levels": _colours,
     "correction_grid": _correction,
     "largest_correction": lambda s, d: _digits(harmonise.largest(harmonise.correction(_cells(s, d), ["camera"], 6, 12, 1), ["camera"])),
     "eroded_mask": _mask,

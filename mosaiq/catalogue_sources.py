@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from mosaiq.sources import manifests, rigs, tiles
 
-_HOUR = F.floor(F.col("event_id") / 12).cast("int")
-
 
 def _listing(spark, sf_dir):
     """Files of event types as captures, users as cameras; some are no tiles, some of another size, format or padding."""
@@ -15,7 +13,7 @@ def _listing(spark, sf_dir):
     camera = F.col("user_id") % 4 + 1
     inner = F.when(camera == 4, "/Tempory").when((camera == 3) & (F.col("event_id") % 5 == 0), "/b").otherwise("")
     odd = F.col("event_type") == "error"
-    number = F.lpad(_HOUR.cast("string"), F.when(odd & (F.col("event_id") % 50 == 0), 6).otherwise(5), "0")
+    number = F.lpad(F.floor(F.col("event_id") / 12).cast("int").cast("string"), F.when(odd & (F.col("event_id") % 50 == 0), 6).otherwise(5), "0")
     kind = F.when(odd & (F.col("event_id") % 90 == 0), "EXR").when(F.col("event_id") % 41 == 0, "txt").otherwise("png")
     size = F.when(odd & (camera == 2), 1080).otherwise(1920)
     head = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex(F.lit(1920)), 8, "0"), F.lpad(F.hex(size), 8, "0")))
