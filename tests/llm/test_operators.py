@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -141,6 +142,30 @@ def test_sharding(spark, docs, empty):
     few = sharding.shard(docs).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in few) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in TEXTS)
     assert sharding.shard(empty).count() == 0
+    nulls = spark.createDataFrame([(None, "same")] * 100, "doc_id long, text string")
+    assert sorted(Counter(r.shard for r in sharding.shard(nulls).collect()).values()) == [4] * 20 + [5] * 4
+
+
+def test_sharding_follows_links(spark):
+    body = {g: " ".join(f"w{g}x{i}" for i in range(40)) for g in range(80)}
+    near = spark.createDataFrame([(5 * g + k, f"{body[g]} tail{k}") for g in range(80) for k in range(5)], "doc_id long, text string")
+
+    def cut(rounds):
+        shards: dict = {}
+        for r in sharding.shard(near, shards=8, rounds=rounds).collect():
+            shards.setdefault(r.doc_id // 5, set()).add(r.shard)
+        return sum(len(s) - 1 for s in shards.values())
+
+    before, after = cut(0), cut(sharding.ROUNDS)
+    assert before > 150 and after < before / 2
+
+
+def test_anchors_match_a_plain_version():
+    texts = ["One two three four five, SIX seven.", "", "a b c d", "x y z u v w x y z u v w", "one two three four five six Seven"]
+    got = sharding.anchors(pa.array(texts)).to_pylist()
+    assert [len(a) for a in got] == [4, 0, 0, 4, 4] and got[0] == got[4]
+    repeat = sharding.anchors(pa.array([texts[3] + " " + texts[3]])).to_pylist()[0]
+    assert [b <= a for a, b in zip(np.array(got[3], np.int64).view(np.uint64), np.array(repeat, np.int64).view(np.uint64))] == [True] * 4
 
 
 def test_substring(docs, empty):
