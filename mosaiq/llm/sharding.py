@@ -27,7 +27,7 @@ from mosaiq.llm import common
 from mosaiq.llm.words import clean_words, mix
 
 SHARDS = 24
-ROUNDS = 8
+ROUNDS = 6
 SLACK = 1.05
 WORDS = 5
 ANCHORS = 4
@@ -109,7 +109,7 @@ def _by_label(df: DataFrame, label: str) -> dict[int, int]:
 def propagate(linked: DataFrame, others: dict[int, int], *, quota: int, shards: int, rounds: int) -> DataFrame:
     """linked has hub, n (rows), homes (of one shard: those move) and anchors; others counts the rows of all else by shard."""
     spark = linked.sparkSession
-    now = common.materialise(linked.withColumn("label", F.get("homes", F.lit(0))), "labels")
+    now = linked.withColumn("label", F.get("homes", F.lit(0)))
     for turn in range(rounds):
         mine = _by_label(now, "label")
         room = {s: quota - others.get(s, 0) - mine.get(s, 0) for s in range(shards)}
@@ -118,9 +118,10 @@ def propagate(linked: DataFrame, others: dict[int, int], *, quota: int, shards:
         votes = links.groupBy("anchor", "label").agg(F.sum("n").alias("n"))
         votes = votes.groupBy("anchor").agg(F.collect_list(F.struct("label", "n")).alias("votes"), F.sum("n").alias("all"))  # an entry per shard
         votes = votes.select("anchor", F.transform("votes", lambda v: F.struct(v["label"].alias("label"), (v["n"] * VOTES / F.col("all")).cast("long").alias("n"))).alias("votes"))
-        movable = now.where("size(homes) = 1").select("hub", F.explode("anchors").alias("anchor"))
-        heard = movable.join(votes, "anchor").groupBy("hub").agg(F.flatten(F.collect_list("votes")).alias("heard"))  # ANCHORS lists
-        asked = now.join(heard, "hub", "left")
+        movable = now.where("size(homes) = 1").withColumn("anchor", F.explode("anchors")).join(votes, "anchor")
+        heard = F.flatten(F.collect_list("votes")).alias("heard")  # ANCHORS lists
+        fixed = now.where("size(homes) > 1").withColumn("heard", F.lit(None).cast("array<struct<label:int,n:bigint>>"))
+        asked = movable.groupBy("hub").agg(*[F.first(c).alias(c) for c in now.columns if c != "hub"], heard).unionByName(fixed)
         may = F.array_distinct(F.transform("heard", lambda v: v["label"]))
         may = F.filter(may, lambda s: (s == F.col("label")) | (s.isin(free) if free else F.lit(False)))
         sums = lambda s: F.aggregate(F.filter("heard", lambda v: v["label"] == s), F.lit(0).cast("long"), lambda acc, v: acc + v["n"])
@@ -135,7 +136,7 @@ def propagate(linked: DataFrame, others: dict[int, int], *, quota: int, shards:
         doors = spark.createDataFrame(sorted(_admitted(wanted, room).items()), "wish int, share double")
         luck = F.pmod(F.xxhash64("hub", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         let = (F.col("wish") != F.col("label")) & (luck < F.col("share"))
-        now = common.materialise(asked.join(F.broadcast(doors), "wish", "left").withColumn("label", F.when(let, F.col("wish")).otherwise(F.col("label"))).select(now.columns), "labels")
+        now = asked.join(F.broadcast(doors), "wish", "left").withColumn("label", F.when(let, F.col("wish")).otherwise(F.col("label"))).select(now.columns)
     return now
 
 
