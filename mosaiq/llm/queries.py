@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import chat, decontaminate, ngram_quality, packing, sharding, simhash, spotsigs, substring, token_files, urls
+from mosaiq.llm import (
+    bpe_stream, chat, decontaminate, ngram_quality, packing, phrases, sharding, simhash, spotsigs, substring, token_files, urls, weighted_lloyd,
+)
 
 QUERIES = {
     "op1_latent_decontamination": decontaminate.op1_latent_decontamination,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_substring_seed_extend": substring.op8_substring_seed_extend,
     "op9_kneser_ney": ngram_quality.op9_kneser_ney,
     "op10_simhash_byte_index": simhash.op10_simhash_byte_index,
+    "op11_weighted_lloyd": weighted_lloyd.op11_weighted_lloyd,
+    "op12_apriori_phrases": phrases.op12_apriori_phrases,
+    "op13_bounded_lookahead": bpe_stream.op13_bounded_lookahead,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +36,6 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(role) + length(written) + 15) AS BIGINT) AS formatted_chars
 FROM safe GROUP BY conv_id
 """,
+    "op11_weighted_lloyd": weighted_lloyd.ORACLE,
+    "op12_apriori_phrases": phrases.ORACLE,
 }
