@@ -33,7 +33,9 @@ FILTER_BYTES, BITS_EACH, PLACES = 1 << 25, 16, 3
 #: Parts with more than one in so many of all words are joined by broadcast.
 HOT = 5000
 #: Bytes of text counted together.
-SLICE = 16 << 20
+SLICE = 4 << 20
+#: Rows of runs that leave for the JVM together.
+SENT = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,16 +137,21 @@ def runs(docs: DataFrame, k: int, known: Filter | None = None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part in common.by_bytes(batches):
-            held.append(part)
-            size += part.nbytes
-            if size >= SLICE:
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if held:
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size = [], 0
-                yield _slice_runs(whole.column(0), whole.column(1), k, known)
-        if held:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            yield _slice_runs(whole.column(0), whole.column(1), k, known)
+                found = _slice_runs(whole.column(0), whole.column(1), k, known)
+                yield from (found.slice(a, SENT) for a in range(0, found.num_rows, SENT))
+
+        for part in common.by_bytes(batches, limit=SLICE):
+            if size and size + part.nbytes > SLICE:
+                yield from done()
+            held.append(part)
+            size += part.nbytes
+        yield from done()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), common.text_column().alias("text"))
     found = rows.mapInArrow(count, "lang string, phrase string, f long")
