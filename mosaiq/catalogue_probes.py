@@ -74,7 +74,7 @@ def _cells(s, d):
 
 def _shifts(s, d):
     o = s.read.parquet(f"{d}/orders.parquet")
-    return o.where("o_orderkey % 7 <> 0").select((F.col("o_custkey") % 50).alias("frame"), (F.col("o_orderkey") % 40).alias("pair"), (F.col("o_totalprice") % 97 / 20).alias("px"))
+    return o.select((F.col("o_custkey") % 50).alias("frame"), (F.col("o_orderkey") % 40).alias("pair"), (F.col("o_totalprice") % 97 / 20).alias("px"))
 
 
 def _jobs(s, d):
@@ -97,6 +97,13 @@ def _levels(s, d):
     return _jobs(s, d).select("job", delivery.h264_level(*args).alias("h264"), delivery.h265_level(*args).alias("h265"))
 
 
+def _specs(s, d):
+    pick = lambda c, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (c % len(names) + 1).cast("int"))
+    job = F.col("job")
+    spec = delivery.delivery_spec(pick(job, "8k", "4k", "2k"), pick(F.floor(job / 3), "h264", "h265", "av1"), pick(F.floor(job / 7), "high", "mid", "low"), F.col("fps"))
+    return _jobs(s, d).select("job", spec.alias("d")).select("job", "d.*")
+
+
 def _audio(s, d):
     rows = _jobs(s, d).select("job", (F.col("job") * 997 % 200000).alias("source_samples"), F.lit(96000).alias("video_samples"), F.lit(48000).alias("rate"), "fps")
     return delivery.audio_plan(rows).select("job", "trimmed", "silent", "faded")
@@ -150,6 +157,7 @@ QUERIES = {
     "master_names": lambda s, d: _jobs(s, d).select("job", delivery.master_name(F.concat(F.lit("s"), F.col("stem").cast("string")), F.col("job"), 4, "png").alias("name")),
     "delivery_sizes": _sizes,
     "codec_levels": _levels,
+    "delivery_specs": _specs,
     "audio_plan": _audio,
     "job_problems": lambda s, d: delivery.job_problems(_jobs(s, d)),
     "unfinished_segments": lambda s, d: delivery.unfinished(_jobs(s, d).select("job", F.col("fps").alias("segment"), "frames"), _jobs(s, d).where("job % 3 > 0").select("job", F.col("fps").alias("segment"), (F.col("frames") + F.when(F.col("job") % 4 == 0, 1).otherwise(0)).alias("frames"))).select("job", "segment", "frames"),
@@ -176,7 +184,7 @@ _LINES = """WITH lines AS (SELECT l_orderkey AS key, l_orderkey * 8 + l_linenumb
 _JOBS = """WITH jobs AS (SELECT o_orderkey AS job, o_orderkey % 5 AS frames, o_orderkey % 4 AS segment_gops, CASE WHEN o_orderkey % 6 = 0 THEN 'a.mov' ELSE 'a.MP4' END AS output, 25 + o_orderkey % 6 AS fps, 1 + o_orderkey % 2 AS factor,
   o_orderkey % 9 * 3 AS width, 10000 + o_orderkey % 400 * 500 AS kbps, o_orderdate AS "at", o_custkey % 10 AS stem FROM orders)
 """
-_SHIFTS = """WITH shifts AS (SELECT o_custkey % 50 AS frame, o_orderkey % 40 AS pair, o_totalprice % 97 / 20 AS px FROM orders WHERE o_orderkey % 7 <> 0),
+_SHIFTS = """WITH shifts AS (SELECT o_custkey % 50 AS frame, o_orderkey % 40 AS pair, o_totalprice % 97 / 20 AS px FROM orders),
 report AS (SELECT frame, pair, count(*) AS patches, median(px) AS median_px, avg(CAST(px < 0.5 AS DOUBLE)) AS aligned, median(px) * 0.25::DOUBLE AS median_deg, count(*) >= 5 AS checked, count(*) >= 5 AND median(px) * 0.25::DOUBLE > 1 AS failed FROM shifts GROUP BY ALL)
 """
 
@@ -249,6 +257,9 @@ SELECT key, line, round(max(a * 0.2126::DOUBLE + b * 0.7152::DOUBLE + quantity *
     "delivery_sizes": _JOBS + """SELECT job, wrap, CAST(wrap // 2 AS INTEGER) AS pole, CAST(segment_gops * fps * 2 // factor AS INTEGER) AS segment_frames, CAST(floor(CAST(frames * factor AS DOUBLE) / fps * (kbps * 1000 / 8) * 2 * 1.2::DOUBLE) AS BIGINT) AS output_bytes,
   CAST(floor(frames * width * (width // 2) * 5.0::DOUBLE) AS BIGINT) AS master_bytes FROM (SELECT *, CAST(greatest(8, round_even(CAST(job % 8000 AS DOUBLE) / 240, 0) * 8) AS INTEGER) AS wrap FROM jobs)""",
     "codec_levels": _JOBS + f"SELECT job, {_h264} AS h264, {_h265} AS h265 FROM (SELECT job, kbps, w, w // 2 AS h, f FROM (SELECT job, kbps, CASE job % 3 WHEN 0 THEN 7680 WHEN 1 THEN 4096 ELSE job % 3000 END AS w, fps * factor AS f FROM jobs))",
+    "delivery_specs": _JOBS + """, p AS (SELECT job, fps, CASE job % 3 WHEN 0 THEN '8k' WHEN 1 THEN '4k' END AS size, job // 3 % 3 < 2 AS codec, job // 7 % 3 AS rung FROM jobs), r AS (SELECT job, fps * 2 AS gop, size IS NOT NULL AND codec AS known,
+  CASE size WHEN '8k' THEN 7680 ELSE 4096 END AS width, CASE size WHEN '8k' THEN [200000, 150000, 100000][rung + 1] ELSE [57000, 43000, 28000][rung + 1] END AS kbps FROM p)
+SELECT job, CASE WHEN known THEN CAST(width AS INTEGER) END AS width, CASE WHEN known THEN CAST(width // 2 AS INTEGER) END AS height, CASE WHEN known THEN CAST(kbps AS INTEGER) END AS kbps, CASE WHEN known THEN CAST(gop AS INTEGER) END AS gop FROM r""",
     "audio_plan": _JOBS + """SELECT job, greatest(s - 96000, 0) AS trimmed, greatest(96000 - s, 0) AS silent, CASE WHEN greatest(96000 - s, 0) >= 48000 // fps THEN least(48000, s) ELSE 0 END AS faded FROM (SELECT *, job * 997 % 200000 AS s FROM jobs)""",
     "job_problems": _JOBS + """SELECT job, problem FROM (SELECT job, unnest([CASE WHEN frames < 1 THEN 'no frames' END, CASE WHEN segment_gops < 1 THEN 'segment length' END, CASE WHEN output = 'a.mov' THEN 'output' END, CASE WHEN factor = 2 AND fps % 2 = 1 THEN 'odd rate' END,
   CASE WHEN width < 2 OR width % 2 = 1 THEN 'width' END]) AS problem FROM jobs) WHERE problem IS NOT NULL""",

@@ -8,10 +8,13 @@ from mosaiq.sources import manifests, rigs, tiles
 
 
 def _listing(spark, sf_dir):
-    """Files of event types as captures, users as cameras; some are no tiles, some of another size, format or padding."""
+    """Files of event types as captures, users as cameras; some are no tiles, some of another size, format or padding. In
+    two of the captures each event is a frame of all four cameras, so those are whole."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    camera = F.col("user_id") % 4 + 1
-    inner = F.when(camera == 4, "/Tempory").when((camera == 3) & (F.col("event_id") % 5 == 0), "/b").otherwise("")
+    whole = F.col("event_type").isin("purchase", "signup")
+    e = e.withColumn("camera", F.explode(F.when(whole, F.array(*[F.lit(i).cast("long") for i in range(1, 5)])).otherwise(F.array(F.col("user_id") % 4 + 1))))
+    camera = F.col("camera")
+    inner = F.when(camera == 4, "/Tempory").when((camera == 3) & ~whole & (F.col("event_id") % 5 == 0), "/b").otherwise("")
     odd = F.col("event_type") == "error"
     number = F.lpad(F.floor(F.col("event_id") / 12).cast("int").cast("string"), F.when(odd & (F.col("event_id") % 50 == 0), 6).otherwise(5), "0")
     kind = F.when(odd & (F.col("event_id") % 90 == 0), "EXR").when(F.col("event_id") % 41 == 0, "txt").otherwise("png")
@@ -31,6 +34,14 @@ def _roots(spark, sf_dir):
     return tiles.candidate_roots(folders, "/data")
 
 
+def _candidates(spark, sf_dir):
+    """Folders of customers' runs, some with takes below them, around one run's folder."""
+    k = F.col("c_custkey")
+    path = F.concat(F.lit("/data/run"), (k % 90).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("/take"), k.cast("string"))).otherwise(""))
+    roots = tiles.candidate_roots(spark.read.parquet(f"{sf_dir}/customer.parquet").select(path.alias("path")), "/data/run6")
+    return roots.select("root", F.col("place.rank").alias("rank"))
+
+
 def _tile_paths(spark, sf_dir):
     rows = tiles.shared_tile_frames(_files(spark, sf_dir)).withColumns({"camera_dir": F.lit("Camera01"), "digits": F.lit(4), "format": F.lit("png")})
     return rows.select("root", "frame", tiles.tile_path("root", "stem", "format").alias("path"))
@@ -106,6 +117,7 @@ QUERIES = {
     "source_problems": lambda s, d: tiles.problems(tiles.camera_files(_files(s, d))),
     "shared_tile_frames": lambda s, d: tiles.shared_tile_frames(_files(s, d)),
     "source_sets": lambda s, d: tiles.source_sets(_files(s, d)),
+    "candidate_roots": _candidates,
     "first_usable_root": lambda s, d: tiles.first_usable(tiles.source_sets(_files(s, d)), _roots(s, d)),
     "tile_paths": _tile_paths,
     "sample_files": lambda s, d: tiles.first_frames(_files(s, d), 20),
@@ -129,9 +141,9 @@ QUERIES = {
     "matte_of_stem": lambda s, d: manifests.matte_of_stem(_manifests(s, d)),
 }
 
-_LISTING = r"""WITH named AS (SELECT *, user_id % 4 + 1 AS cam, event_type = 'error' AS odd FROM events),
+_LISTING = r"""WITH named AS (SELECT *, event_type = 'error' AS odd, unnest(CASE WHEN event_type IN ('purchase', 'signup') THEN [1, 2, 3, 4] ELSE [user_id % 4 + 1] END) AS cam FROM events),
 listing AS (SELECT path, max(length) AS length, min(size) AS size FROM (SELECT '/data/' || event_type || CASE WHEN cam % 2 = 0 THEN '/Camera_' ELSE '/camera' END || cam
-  || CASE WHEN cam = 4 THEN '/Tempory' WHEN cam = 3 AND event_id % 5 = 0 THEN '/b' ELSE '' END || '/S.' || lpad(CAST(event_id // 12 AS VARCHAR), CASE WHEN odd AND event_id % 50 = 0 THEN 6 ELSE 5 END, '0')
+  || CASE WHEN cam = 4 THEN '/Tempory' WHEN cam = 3 AND event_id % 5 = 0 AND event_type NOT IN ('purchase', 'signup') THEN '/b' ELSE '' END || '/S.' || lpad(CAST(event_id // 12 AS VARCHAR), CASE WHEN odd AND event_id % 50 = 0 THEN 6 ELSE 5 END, '0')
   || '.' || CASE WHEN odd AND event_id % 90 = 0 THEN 'EXR' WHEN event_id % 41 = 0 THEN 'txt' ELSE 'png' END AS path,
   CAST(floor(value * 100) AS BIGINT) AS length, CASE WHEN odd AND cam = 2 THEN 1080 ELSE 1920 END AS size FROM named) GROUP BY path),
 parts AS (SELECT *, regexp_extract(path, '^(.*)/(camera[\s_-]*([0-9]+))(?:/([^/]+))?/([^/]+)\.([0-9]{2,8})\.(png|exr)$', ['root', 'directory', 'cam', 'inner', 'stem', 'frame', 'format'], 'i') AS p FROM listing),
@@ -178,6 +190,8 @@ ORACLE_SQL: dict[str, str] = {
     "shared_tile_frames": _LISTING + "SELECT * FROM shared",
     "source_sets": _LISTING + "SELECT *, cameras >= 2 AND frames > 0 AND faults = 0 AS usable FROM sets",
     "first_usable_root": _LISTING + "SELECT root, stem, cameras, frames FROM sets WHERE cameras >= 2 AND frames > 0 AND faults = 0 QUALIFY root = min(root) OVER ()",
+    "candidate_roots": """WITH f AS (SELECT DISTINCT '/data/run' || c_custkey % 90 || CASE WHEN c_custkey % 3 = 0 THEN '/take' || c_custkey ELSE '' END AS root FROM customer)
+SELECT root, CASE WHEN root = '/data/run6' THEN 0 WHEN root LIKE '/data/run6/%' THEN 1 ELSE 2 END AS rank FROM f WHERE root LIKE '/data/run6/%' OR root NOT LIKE '/data/run%/%'""",
     "tile_paths": _LISTING + "SELECT root, frame, root || '/Camera01/' || stem || '.' || printf('%04d', frame) || '.png' AS path FROM shared",
     "sample_files": _LISTING + "SELECT path, length FROM sample",
     "files_to_copy": _LISTING + "SELECT path, length FROM sample WHERE camera > 2 OR frame % 2 = 1",
@@ -186,7 +200,7 @@ ORACLE_SQL: dict[str, str] = {
     "rig_twenty": _REGISTRY + "SELECT * FROM twenty",
     "rig_fifteen": _REGISTRY + "SELECT * FROM fifteen",
     "panorama_widths": """WITH w AS (SELECT p_partkey, CASE WHEN p_partkey % 200 > 0 AND p_partkey % 200 < 180 THEN CAST(round_even(p_size * 32 * 360.0::DOUBLE / (p_partkey % 200), 0) AS BIGINT) END AS w FROM part)
-SELECT p_partkey, w + w % 2 AS native_width, least(w + w % 2, 3840) AS analysis_width, CAST(((p_partkey * 7 - 500) % 360 + 360) % 360 AS DOUBLE) AS yaw FROM w""".replace("least(w + w % 2, 3840)", "CASE WHEN w IS NULL THEN 3840 ELSE least(w + w % 2, 3840) END"),
+SELECT p_partkey, w + w % 2 AS native_width, CASE WHEN w IS NOT NULL THEN least(w + w % 2, 3840) END AS analysis_width, CAST(((p_partkey * 7 - 500) % 360 + 360) % 360 AS DOUBLE) AS yaw FROM w""",
     "rig_of_count": "SELECT capture, cameras, CASE cameras WHEN 20 THEN 'twenty' WHEN 15 THEN 'fifteen' END AS rig FROM (SELECT c_custkey % 97 AS capture, count(*) AS cameras FROM customer GROUP BY ALL)",
     "matching_rigs": _REGISTRY + """, have AS (SELECT capture, list(round(yaw, 3) % 360 || ' ' || round(elevation, 3) || ' ' || fov ORDER BY 1) AS v FROM captures GROUP BY capture),
 want AS (SELECT rig, list(round(yaw, 3) % 360 || ' ' || round(elevation, 3) || ' ' || fov ORDER BY 1) AS v FROM registered GROUP BY rig)

@@ -45,7 +45,9 @@ def native_width(tile: Column, fov: Column) -> Column:
 
 
 def analysis_width(tile: Column, fov: Column) -> Column:
-    return F.least(native_width(tile, fov), F.lit(MOST_WIDTH))
+    """The native width, at most MOST_WIDTH; null where there is no native width."""
+    width = native_width(tile, fov)
+    return F.when(width > MOST_WIDTH, F.lit(MOST_WIDTH).cast("long")).otherwise(width)
 
 
 def rig_of_count(counts: DataFrame, rigs: DataFrame) -> DataFrame:

@@ -33,6 +33,16 @@ def _used(files: DataFrame) -> DataFrame:
     return files.join(tile_directories(files), ["root", "camera", "directory", "inner"], "left_semi")
 
 
+def frame_files(files: DataFrame) -> DataFrame:
+    """A row per root, stem, camera and frame of the folders that are used, and what its files are: the one grouping of
+    the listing that all below is made from. The folders come from the same grouping, so the listing is read once."""
+    each = files.groupBy("root", "stem", "camera", "directory", "inner", "frame").agg(
+        F.min("format").alias("format"), F.max("format").alias("last_format"), F.sum("length").alias("total_bytes"),
+        F.min("digits").alias("least_digits"), F.max("digits").alias("digits"), F.min(F.struct("format", "path", "head")).alias("first"),
+    )
+    return _used(each)
+
+
 def png_size(head: Column) -> tuple[Column, Column]:
     """Width and height from a PNG's first 24 bytes; null where the signature is another."""
     number = lambda at: F.conv(F.hex(F.substring(head, at, 4)), 16, 10).cast("int")
@@ -42,52 +52,66 @@ def png_size(head: Column) -> tuple[Column, Column]:
 
 def camera_files(files: DataFrame) -> DataFrame:
     """A row per root, stem and camera: its files' format (the first of several), frames, bytes, paddings and tile size."""
-    files = _used(files)
-    first = F.min_by("head", F.struct("format", "path"))
-    width, height = png_size(first)
-    return files.groupBy("root", "stem", "camera").agg(
-        F.min("format").alias("format"), F.count_distinct("format").alias("formats"), F.count_distinct("frame").alias("frames"),
-        F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.sum("length").alias("total_bytes"),
-        F.min("digits").alias("least_digits"), F.max("digits").alias("digits"), width.alias("width"), height.alias("height"),
+    return _cameras(frame_files(files))
+
+
+def _cameras(frames: DataFrame) -> DataFrame:
+    width, height = png_size(F.min("first")["head"])
+    formats = F.when(F.min("format") != F.max("last_format"), 2).otherwise(1).cast("long")
+    return frames.groupBy("root", "stem", "camera").agg(
+        F.min("format").alias("format"), formats.alias("formats"), F.count_distinct("frame").alias("frames"),
+        F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.sum("total_bytes").alias("total_bytes"),
+        F.min("least_digits").alias("least_digits"), F.max("digits").alias("digits"), width.alias("width"), height.alias("height"),
     )
 
 
-def problems(cameras: DataFrame) -> DataFrame:
-    """(root, stem, problem): numbering, resolution, square, format, mixed, count, padding, unreadable."""
+def _faults():
+    """Array of what does not add up in the cameras of a set."""
     differ = lambda c: F.count_distinct(c) > 1
-    sets = cameras.groupBy("root", "stem").agg(F.filter(F.array(
+    return F.filter(F.array(
         F.when((F.min("camera") != 1) | (F.max("camera") != F.count_distinct("camera")) | (F.count(F.lit(1)) != F.count_distinct("camera")), "numbering"),
         F.when(F.count_distinct("width", "height") > 1, "resolution"),
         F.when((F.count_distinct("width", "height") == 1) & (F.max("width") != F.max("height")), "square"),
         F.when(differ("format"), "format"), F.when(F.max("formats") > 1, "mixed"), F.when(differ("frames"), "count"),
         F.when(F.min("least_digits") != F.max("digits"), "padding"), F.when(F.count("width") < F.count(F.lit(1)), "unreadable"),
-    ), lambda p: p.isNotNull()).alias("problems"))
+    ), lambda p: p.isNotNull())
+
+
+def problems(cameras: DataFrame) -> DataFrame:
+    """(root, stem, problem): numbering, resolution, square, format, mixed, count, padding, unreadable."""
+    sets = cameras.groupBy("root", "stem").agg(_faults().alias("problems"))
     return sets.select("root", "stem", F.explode("problems").alias("problem"))
 
 
 def shared_tile_frames(files: DataFrame) -> DataFrame:
     """Frames that all cameras of a stem have."""
-    each = _used(files).select("root", "stem", "camera", "frame").distinct()
+    return _shared(frame_files(files))
+
+
+def _shared(frames: DataFrame) -> DataFrame:
+    each = frames.select("root", "stem", "camera", "frame").distinct()
     cameras = each.groupBy("root", "stem").agg(F.count_distinct("camera").alias("cameras"))
     seen = each.groupBy("root", "stem", "frame").agg(F.count(F.lit(1)).alias("n"))
     return seen.join(cameras, ["root", "stem"]).where("n = cameras").select("root", "stem", "frame")
 
 
 def source_sets(files: DataFrame) -> DataFrame:
-    """A row per stem: cameras, shared frames, total bytes, whether it can be used."""
-    cameras = camera_files(files)
-    sets = cameras.groupBy("root", "stem").agg(F.count(F.lit(1)).alias("cameras"), F.sum("total_bytes").alias("total_bytes"))
-    shared = shared_tile_frames(files).groupBy("root", "stem").agg(F.count(F.lit(1)).alias("frames"))
-    faults = problems(cameras).groupBy("root", "stem").agg(F.count(F.lit(1)).alias("faults"))
-    rows = sets.join(shared, ["root", "stem"], "left").join(faults, ["root", "stem"], "left").fillna(0, ["frames", "faults"])
-    return rows.withColumn("usable", (F.col("cameras") >= 2) & (F.col("frames") > 0) & (F.col("faults") == 0))
+    """A row per stem: cameras, shared frames, total bytes, whether it can be used. A frame is shared if as many cameras
+    have it as the set has, so frames are counted by their cameras first and the set keeps a count for each number."""
+    frames = frame_files(files)
+    sets = _cameras(frames).groupBy("root", "stem").agg(F.count(F.lit(1)).alias("cameras"), F.sum("total_bytes").alias("total_bytes"), F.size(_faults()).alias("faults"))
+    seen = frames.groupBy("root", "stem", "frame").agg(F.count_distinct("camera").alias("cameras"))
+    held = seen.groupBy("root", "stem", "cameras").agg(F.count(F.lit(1)).alias("frames"))
+    rows = sets.join(held, ["root", "stem", "cameras"], "left").fillna(0, ["frames"])
+    rows = rows.withColumn("usable", (F.col("cameras") >= 2) & (F.col("frames") > 0) & (F.col("faults") == 0))
+    return rows.select("root", "stem", "cameras", "total_bytes", "frames", F.col("faults").cast("long").alias("faults"), "usable")
 
 
 def first_usable(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """The usable sets of the first root (by `place`) that has any."""
     found = sets.where("usable").join(roots, "root")
-    first = found.agg(F.min("place").alias("place"))
-    return found.join(F.broadcast(first), "place").select("root", "stem", "cameras", "frames")  # one row is broadcast
+    first = found.groupBy("place").agg(F.collect_list(F.struct("root", "stem", "cameras", "frames")).alias("sets"))  # stems of one root
+    return first.orderBy("place").limit(1).select(F.inline("sets"))
 
 
 def candidate_roots(folders: DataFrame, base: str) -> DataFrame:
