@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,9 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-#: Folders of tables that pipeline stages wrote, and whether new ones are to be listed there.
-_LEFT: list[str] = []
-_listing = False
+#: Tables written inside the innermost `scratch`: folders and names in the catalogue.
+_inside: ContextVar[list[tuple[str, str]] | None] = ContextVar("inside", default=None)
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -29,31 +29,50 @@ def work_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, table: str = "") -> str:
     folder = f"{work_dir(spark)}/mosaiq-{uuid.uuid4().hex}"
-    if _listing:
-        _LEFT.append(folder)
+    if (held := _inside.get()) is not None:
+        held.append((folder, table))
     return f"{folder}/{name}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
-def listed():
-    """Tables written inside are listed for `drop_listed`."""
-    global _listing
-    before, _listing = _listing, True
+def scratch(spark: SparkSession):
+    """Tables written inside go at the end, and the session's batch size is what it was: the owner has written what it
+    returns before that (with `kept`). Owners do not see each other's tables, so several can live in one application."""
+    held: list[tuple[str, str]] = []
+    token = _inside.set(held)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    size = spark.conf.get(batch)
     try:
         yield
     finally:
-        _listing = before
+        _inside.reset(token)
+        spark.conf.set(batch, size)
+        for folder, table in held:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            remove(spark, folder)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As `materialise`, for what outlives the scratch around it; `folder_of` names its folder to whoever removes it."""
+    token = _inside.set(None)
+    try:
+        return materialise(df, name)
+    finally:
+        _inside.reset(token)
 
 
-def drop_listed(spark: SparkSession, docs: DataFrame) -> None:
-    """Remove the listed tables that docs does not read: an earlier stage's, once its result is written and read again."""
-    read = " ".join(docs.inputFiles())
-    for folder in [f for f in _LEFT if f.rsplit("/", 1)[1] not in read]:
-        _LEFT.remove(folder)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def folder_of(df: DataFrame) -> str | None:
+    """The folder of a table that `kept` wrote; null for an empty one and for others."""
+    found = {f.rsplit("/", 2)[0] for f in df.inputFiles()}
+    return found.pop() if len(found) == 1 else None
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -67,7 +86,7 @@ def materialise_by(df: DataFrame, key: str, name: str) -> DataFrame:
     """As `materialise`, in buckets of `key`, as many as shuffle partitions: a join by that key leaves this side in place."""
     spark = df.sparkSession
     table = f"mosaiq_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(shuffle_partitions(spark), key).saveAsTable(table)
+    df.write.option("compression", "zstd").option("path", new_path(spark, name, table)).bucketBy(shuffle_partitions(spark), key).saveAsTable(table)
     return spark.table(table)
 
 

@@ -5,8 +5,8 @@ dates) become wildcards that keep their file extension, and where a node still h
 labelled block share does not differ from the share of all its literal children (a two-proportion z test) merge into one
 wildcard branch. Labels are the verdicts of the rules; a url that no rule fits takes the purity of the deepest template
 on its path that has labels: (blocked + 1) / (labelled + 2), and is blocked at 0.8 or more. A host's root is no template.
-Where no template of the own host has labels, those of all hosts together count, again the deepest. Labels can be given as
-a table (host, path, blocked); else they are the rules' verdicts.
+Trees are per host: where no template of the own host on a url's path has labels, its purity is 0.5 and it is allowed. Labels
+can be given as a table (host, path, blocked); else they are the rules' verdicts.
 
 Defined results: null urls and urls without "://" have empty host and path and are allowed; repeated rows are judged
 each; paths deeper than `depth` keep their rest as one last segment; an empty table gives an empty result; other columns
@@ -31,8 +31,6 @@ RULES = (
 DEPTH = 8
 FANOUT = 16
 PURITY = 0.8
-#: Templates of all hosts together that may be broadcast.
-MOST_BROADCAST = 200_000
 _VARIABLE = r"^(?:[0-9]+|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9a-fA-F]*[0-9][0-9a-fA-F]{7,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})((?:\.[A-Za-z0-9]{1,5})?)$"
 
 
@@ -98,13 +96,8 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, *, rules=RULES, dep
     nodes = up.groupBy("host", "node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     score = ((F.col("b") + 1) / (F.col("l") + 2)).alias("p")
     best = up.select("host", "template", "node").join(nodes.where("l > 0"), ["host", "node"]).groupBy("host", "template").agg(F.max_by(score, F.size("node")).alias("purity"))
-    everywhere = nodes.groupBy("node").agg(F.sum("l").alias("_all"), F.sum("b").alias("_blocked")).where("_all > 0")
-    everywhere = common.materialise(everywhere.select("node", F.col("_all").alias("l"), F.col("_blocked").alias("b")), "everywhere")
-    if everywhere.count() <= MOST_BROADCAST:  # beyond it the join shuffles
-        everywhere = F.broadcast(everywhere)
-    shared = up.select("host", "template", "node").join(everywhere, "node").groupBy("host", "template").agg(F.max_by(score, F.size("node")).alias("shared"))
-    judged = leaves.join(best, ["host", "template"], "left").join(shared, ["host", "template"], "left")
-    judged = judged.select("host", "path", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.coalesce("purity", "shared", F.lit(0.5)).alias("purity"))
+    judged = leaves.join(best, ["host", "template"], "left")
+    judged = judged.select("host", "path", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.coalesce("purity", F.lit(0.5)).alias("purity"))
     own = F.when(F.col("purity") >= purity, "block").otherwise("allow")
     return seen.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("_known", own).alias("verdict"), "template", "purity")
 

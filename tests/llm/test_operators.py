@@ -58,8 +58,16 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_a_rule_blocks_no_other_host(spark):
+    rows = [f"http://example.com/en/{i}" for i in range(50)] + [f"http://other{i}.org/en/{i}" for i in range(20)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, r.purity) for r in urls.judge(pages).collect()}
+    assert all(got[k][:2] == ("example.com/en/", "block") for k in range(50))
+    assert all(got[k] == (None, "allow", 0.5) for k in range(50, 70))
+
+
 def test_url_labels_decide_unruled_pages(spark):
-    """Against a plain tree: templates /x/*, own host first, then all hosts; like children merge beyond the fan-out."""
+    """Against a plain tree: templates /x/* of the own host; like children merge beyond the fan-out."""
     rows = [(f"http://{h}.org/{d}/{i}", h, d, i) for h, d, n in (("a", "bad", 40), ("a", "fine", 40), ("b", "bad", 5), ("c", "new", 3)) for i in range(n)]
     rows += [(f"http://d.org/word{'xyz'[i % 3]}{chr(97 + i % 26)}{chr(97 + i // 26)}/p", "d", "many", i) for i in range(40)]
     pages = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "page_id long, url string")
@@ -67,7 +75,7 @@ def test_url_labels_decide_unruled_pages(spark):
     known += [(f"{h}.org", u.split(".org")[1], True) for u, h, _, i in rows if h == "d" and i < 30]
     got = {r.page_id: (r.verdict, r.template, round(r.purity, 6)) for r in urls.judge(pages, spark.createDataFrame(known, "host string, path string, blocked boolean"), rules=()).collect()}
     for k, (_, h, d, _) in enumerate(rows):
-        want = {("a", "bad"): ("block", "/bad/*", 21 / 22), ("a", "fine"): ("allow", "/fine/*", 1 / 22), ("b", "bad"): ("block", "/bad/*", 21 / 22), ("c", "new"): ("allow", "/new/*", 0.5)}.get((h, d))
+        want = {("a", "bad"): ("block", "/bad/*", 21 / 22), ("a", "fine"): ("allow", "/fine/*", 1 / 22), ("b", "bad"): ("allow", "/bad/*", 0.5), ("c", "new"): ("allow", "/new/*", 0.5)}.get((h, d))
         if want:
             assert got[k] == (want[0], want[1], round(want[2], 6))
     assert sum(got[k][0] == "block" for k, r in enumerate(rows) if r[1] == "d") >= 30
