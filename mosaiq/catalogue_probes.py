@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mosaiq.operators import delivery, geometry, harmonise, layout, probes, sampling
+from mosaiq.sources import rigs
 
 
 def _digits(df):
@@ -77,6 +80,54 @@ def _shifts(s, d):
     return o.select((F.col("o_custkey") % 50).alias("frame"), (F.col("o_orderkey") % 40).alias("pair"), (F.col("o_totalprice") % 97 / 20).alias("px"))
 
 
+#: The gate's query: width of panorama and tiles, patch and step, and the planted turn in panorama pixels of a frame's tilted cameras.
+GATE_WIDTH, GATE_TILE, GATE_PATCH, GATE_STEP = 192, 48, 16, 4
+
+
+def planted(frame):
+    return frame % 4
+
+
+def _scene(s, d):
+    """Tiles of the fifteen-file rig: each vector is a scene, a sum of its components' waves over the sphere, seen by the
+    level cameras and, turned by `planted` pixels, by the tilted ones."""
+    views = rigs.fifteen_file_rig(s)
+    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("frame"), "embedding")
+    rows = e.crossJoin(F.broadcast(views))  # fifteen rows
+    k = np.arange(64)
+    up = 1 - (2 * k + 1) / 64
+    axes = np.stack([np.sqrt(1 - up**2) * np.cos(k * 2.4), np.sqrt(1 - up**2) * np.sin(k * 2.4), up]) * (30 + 60 * (k * 0.618 % 1))
+
+    def run(batches):
+        kept = {}
+        at = (np.arange(GATE_TILE) + 0.5) / GATE_TILE * 2 - 1
+        for rows in batches:
+            out = []
+            for frame, v, yaw, tilt, fov in zip(*[rows.column(c).to_pylist() for c in range(1, 6)]):
+                yaw = np.radians(yaw + (planted(frame) * 360 / GATE_WIDTH if tilt else 0))
+                if (yaw, tilt) not in kept:
+                    half, t = np.tan(np.radians(fov) / 2), np.radians(tilt)
+                    y, x = np.meshgrid(-at * half, at * half, indexing="ij")
+                    ahead, z = np.cos(t) - y * np.sin(t), np.sin(t) + y * np.cos(t)
+                    rays = np.stack([ahead * np.cos(yaw) - x * np.sin(yaw), ahead * np.sin(yaw) + x * np.cos(yaw), z], axis=-1)
+                    kept[yaw, tilt] = np.cos(rays / np.linalg.norm(rays, axis=-1)[..., None] @ axes + k).reshape(-1, 64)
+                out.append((128 + kept[yaw, tilt] @ (np.array(v) * 20 / max(1e-6, np.linalg.norm(v)))).astype(np.float32))
+            yield pa.record_batch([rows.column(1), rows.column(0), pa.array(out, pa.list_(pa.float32()))], ["frame", "camera", "pixels"])
+
+    return rows.select("camera", "frame", "embedding", "yaw", "elevation", "fov").mapInArrow(run, "frame long, camera int, pixels array<float>")
+
+
+def _gate_shifts(s, d):
+    views = rigs.fifteen_file_rig(s)
+    pairs = layout.view_pairs(rigs.horizon_pairs(views.withColumn("rig", F.lit(1)), "rig").drop("rig"), views)
+    return layout.patch_shifts(_scene(s, d), layout.overlap_patches(pairs, GATE_WIDTH, GATE_PATCH, GATE_STEP), GATE_WIDTH, GATE_PATCH)
+
+
+def _gate(s, d):
+    """What the gate says of each scene; its SQL knows the planted turns alone."""
+    return _digits(layout.verdict(layout.pair_report(_gate_shifts(s, d), 360 / GATE_WIDTH, "frame"), "frame")).drop("worst_failing")
+
+
 def _jobs(s, d):
     k = F.col("o_orderkey")
     return s.read.parquet(f"{d}/orders.parquet").select(
@@ -150,6 +201,8 @@ QUERIES = {
     "correction_grid": _correction,
     "largest_correction": lambda s, d: _digits(harmonise.largest(harmonise.correction(_cells(s, d), ["camera"], 6, 12, 1), ["camera"])),
     "eroded_mask": _mask,
+    "layout_shifts": lambda s, d: _digits(_gate_shifts(s, d)),
+    "layout_gate": _gate,
     "layout_pairs": lambda s, d: _digits(layout.pair_report(_shifts(s, d), 0.25, "frame")),
     "layout_verdict": lambda s, d: _digits(layout.verdict(layout.pair_report(_shifts(s, d), 0.25, "frame"), "frame")),
     "frame_selection": lambda s, d: delivery.select_frames("-100, 500-900, 7, 14900-", s.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") - F.col("o_orderkey") % 7).alias("frame"))).distinct(),
@@ -248,6 +301,7 @@ SELECT key, line, round(max(a * 0.2126::DOUBLE + b * 0.7152::DOUBLE + quantity *
     "correction_grid": _CORRECTION + "SELECT camera, gy, gx, round(value, 9) AS value FROM result",
     "largest_correction": _CORRECTION + "SELECT camera, round(max(abs(value)), 9) AS largest FROM result GROUP BY camera",
     "eroded_mask": _GRID.replace("QUALIFY sum(weight) > 0.05 * max(sum(weight)) OVER (PARTITION BY camera)", "") + "SELECT g.camera, g.gy, g.gx, count(h.gy) = 9 AS \"set\" FROM grid g LEFT JOIN grid h ON h.camera = g.camera AND abs(h.gy - g.gy) <= 1 AND abs(h.gx - g.gx) <= 1 AND h.covered GROUP BY ALL",
+    "layout_gate": "SELECT CAST(vec_id AS BIGINT) AS frame, CASE WHEN vec_id % 4 > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, round(vec_id % 4 * 360.0::DOUBLE / 192, 9) AS worst_deg FROM embeddings",
     "layout_pairs": _SHIFTS + "SELECT frame, pair, patches, round(median_px, 9) AS median_px, round(aligned, 9) AS aligned, round(median_deg, 9) AS median_deg, checked, failed FROM report",
     "layout_verdict": _SHIFTS + """SELECT frame, CASE WHEN bool_or(failed) THEN 'FAIL' WHEN NOT bool_and(checked) THEN 'UNVERIFIABLE' ELSE 'PASS' END AS verdict, round(coalesce(max(median_deg) FILTER (checked), 0), 9) AS worst_deg,
   first(pair ORDER BY median_deg DESC, pair) FILTER (failed) AS worst_failing FROM report GROUP BY frame""",

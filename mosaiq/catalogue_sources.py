@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mosaiq.operators import layout
 from mosaiq.sources import manifests, rigs, tiles
 
 
@@ -67,6 +68,16 @@ def _captures(spark, sf_dir):
     return both.select("capture", (101 - F.col("camera")).alias("camera"), (F.col("yaw") + F.when(key == 0, 360.0).otherwise(0.0) + F.when((key == 2) & (F.col("camera") == 1), 1.0).otherwise(0.0)).alias("yaw"), "elevation", "fov")
 
 
+def _overlaps(spark, sf_dir):
+    """The overlapping pairs of each capture's cameras."""
+    views = _captures(spark, sf_dir)
+    return layout.view_pairs(rigs.horizon_pairs(views, "capture"), views, "capture")
+
+
+def _boxes(spark, sf_dir):
+    return layout.overlap_boxes(_overlaps(spark, sf_dir), 128, 8).select("capture", "a", "b", "top", "bottom", "left", "right")
+
+
 def _widths(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     tile, fov = (F.col("p_size") * 32).cast("double"), (F.col("p_partkey") % 200).cast("double")
@@ -124,6 +135,8 @@ QUERIES = {
     "files_to_copy": _to_copy,
     "source_survey": _survey,
     "frame_gaps": lambda s, d: tiles.frame_gaps(_files(s, d), ["root", "camera"]),
+    "overlap_boxes": _boxes,
+    "overlap_patches": lambda s, d: layout.overlap_patches(_overlaps(s, d), 64, 8, 4).select("capture", "a", "b", "y", "x"),
     "rig_twenty": lambda s, d: rigs.twenty_file_rig(s),
     "rig_fifteen": lambda s, d: rigs.fifteen_file_rig(s),
     "panorama_widths": _widths,
@@ -182,6 +195,28 @@ views AS (SELECT capture, CAST(i AS INTEGER) AS place, json_extract_string(manif
 disk AS (SELECT o_orderkey AS capture, printf('CAMERA%02d', c) AS directory, CAST(4 - c AS INTEGER) AS camera FROM orders, range(1, 5) r(c) WHERE c <= CASE WHEN o_orderkey % 6 = 0 THEN 4 WHEN o_orderkey % 10 = 1 THEN 2 ELSE 3 END)
 """
 
+def _overlap_sql(width: int, step: int, patch: int | None = None) -> str:
+    """SQL of the overlap boxes, or of the whole lattice without any box."""
+
+    def seen(side: str, w: int) -> str:
+        lon, lat = f"radians((col + 0.5::DOUBLE) / {w} * 360 - 180 - {side}.yaw)", f"radians(90 - (row + 0.5::DOUBLE) / {w // 2} * 180)"
+        tilt = f"radians({side}.elevation)"
+        ahead = f"(cos({lat}) * cos({lon}) * cos({tilt}) + sin({lat}) * sin({tilt}))"
+        return f"{ahead} > 0 AND abs(cos({lat}) * sin({lon})) <= {ahead} * tan(radians({side}.fov) / 2) AND abs(sin({lat}) * cos({tilt}) - cos({lat}) * cos({lon}) * sin({tilt})) <= {ahead} * tan(radians({side}.fov) / 2)"
+
+    shared = lambda w: f"""shared AS (SELECT a.capture, a.camera AS a, b.camera AS b, row, col FROM own a JOIN own b ON a.capture = b.capture AND a.fold = b.fold AND b.elevation = 0 AND abs(a.elevation) = 45,
+  range({w // 2}) r(row), range({w}) c(col) WHERE {seen('a', w)} AND {seen('b', w)})"""
+    own = _REGISTRY + ", own AS (SELECT * FROM (SELECT *, yaw % 360 AS fold FROM captures) QUALIFY row_number() OVER (PARTITION BY capture, fold, elevation ORDER BY camera) = 1),\n"
+    if patch:
+        return own + shared(width) + f""", cells AS (SELECT capture, a, b, row // {step} AS cy, col // {step} AS cx, count(*) AS n FROM shared GROUP BY ALL)
+SELECT capture, a, b, CAST(py * {step} AS INTEGER) AS y, CAST(px * {step} AS INTEGER) AS x FROM (SELECT *, cy - dy AS py, cx - dx AS px FROM cells, range({patch // step}) u(dy), range({patch // step}) v(dx))
+GROUP BY capture, a, b, py, px HAVING sum(n) = {patch * patch} AND py * {step} < {width // 2 - patch} AND px * {step} < {width - patch}"""
+    return own + shared(width // 8) + f""", f AS (SELECT capture, a, b, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1, count(DISTINCT col) AS n FROM shared GROUP BY ALL),
+g AS (SELECT *, c0 = 0 OR c1 = {width // 8 - 1} OR n <= c1 - c0 AS seam FROM f)
+SELECT capture, a, b, CAST(greatest((r0 - 1) * 8 // {step} * {step}, 0) AS INTEGER) AS top, CAST(least((r1 + 2) * 8, {width // 2}) AS INTEGER) AS bottom,
+  CAST(CASE WHEN seam THEN 0 ELSE greatest((c0 - 1) * 8 // {step} * {step}, 0) END AS INTEGER) AS "left", CAST(CASE WHEN seam THEN {width} ELSE least((c1 + 2) * 8, {width}) END AS INTEGER) AS "right" FROM g"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "tile_files": _LISTING + 'SELECT path, root, camera, "inner", stem, frame, CAST(digits AS INTEGER) AS digits, format FROM files',
     "tile_directories": _LISTING + "SELECT * FROM folders",
@@ -197,6 +232,8 @@ SELECT root, CASE WHEN root = '/data/run6' THEN 0 WHEN root LIKE '/data/run6/%'
     "files_to_copy": _LISTING + "SELECT path, length FROM sample WHERE camera > 2 OR frame % 2 = 1",
     "source_survey": _LISTING + "SELECT root, round(total_bytes / greatest(frames, 1) / 1048576.0::DOUBLE, 9) AS mib, round(total_bytes / greatest(frames, 1) / 1048576.0::DOUBLE * 4 / cameras, 9) AS distinct_mib FROM sets WHERE cameras = 4",
     "frame_gaps": _LISTING + "SELECT root, camera, frame + 1 AS first_missing, ahead - 1 AS last_missing FROM (SELECT *, lead(frame) OVER (PARTITION BY root, camera ORDER BY frame) AS ahead FROM (SELECT DISTINCT root, camera, frame FROM files)) WHERE ahead > frame + 1",
+    "overlap_boxes": _overlap_sql(128, 8),
+    "overlap_patches": _overlap_sql(64, 4, 8),
     "rig_twenty": _REGISTRY + "SELECT * FROM twenty",
     "rig_fifteen": _REGISTRY + "SELECT * FROM fifteen",
     "panorama_widths": """WITH w AS (SELECT p_partkey, CASE WHEN p_partkey % 200 > 0 AND p_partkey % 200 < 180 THEN CAST(round_even(p_size * 32 * 360.0::DOUBLE / (p_partkey % 200), 0) AS BIGINT) END AS w FROM part)

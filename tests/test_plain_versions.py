@@ -8,21 +8,40 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from mosaiq import catalogue_probes as probes_of
 from mosaiq.operators import delivery, geometry, layout
-from mosaiq.sources import tiles
+from mosaiq.sources import rigs, tiles
 
 
-def test_patch_shifts(spark):
+def test_correlation_of_stacks_finds_shifts():
     rng = np.random.default_rng(4)
-    side = 32
-    rows = []
-    for k, (dy, dx) in enumerate([(0, 0), (3, -2), (-5, 4), (1, 1)]):
-        big = rng.normal(100, 30, (side + 16, side + 16))
-        a, b = big[8 : 8 + side, 8 : 8 + side], big[8 + dy : 8 + dy + side, 8 + dx : 8 + dx + side]
-        rows.append((1, k, a.ravel().tolist(), b.ravel().tolist()))
-    rows.append((1, 9, [5.0] * side * side, [5.0] * side * side))
-    got = {r.patch: (r.dy, r.dx) for r in layout.patch_shifts(spark.createDataFrame(rows, "pair long, patch long, a array<double>, b array<double>"), side).collect()}
-    assert got == {0: (0, 0), 1: (3, -2), 2: (-5, 4), 3: (1, 1)}  # the flat patch has no contrast
+    wanted = [(0, 0), (3, -2), (-5, 4), (1, 1), (16, 0)]
+    big = rng.normal(100, 30, (5, 80, 80))
+    a = big[:, 24:56, 24:56]
+    b = np.stack([big[i, 24 + dy : 56 + dy, 24 + dx : 56 + dx] for i, (dy, dx) in enumerate(wanted)])
+    assert [tuple(x) for x in layout.correlated(a, b)[:4]] == wanted[:4]
+
+
+def test_planted_turns_are_found(spark):
+    """Each pair's median is the planted turn, but for some of three pixels; RGB tiles give the same, missing tiles nothing."""
+    views = rigs.fifteen_file_rig(spark)
+    pairs = layout.view_pairs(rigs.horizon_pairs(views.withColumn("rig", F.lit(1)), "rig").drop("rig"), views)
+    patches = layout.overlap_patches(pairs, probes_of.GATE_WIDTH, probes_of.GATE_PATCH, probes_of.GATE_STEP).cache()
+    scene = probes_of._scene(spark, "/root/testdata/sf0.001").where("frame < 12").cache()
+    shifts = layout.patch_shifts(scene, patches, probes_of.GATE_WIDTH, probes_of.GATE_PATCH).collect()
+    by = {}
+    for r in shifts:
+        by.setdefault((r.frame, r.pair), []).append(r.px)
+        assert r.px == np.hypot(r.dy, r.dx) and r.y % probes_of.GATE_STEP == 0 == r.x % probes_of.GATE_STEP
+    assert len(by) == 120 and all(len(v) >= 11 for v in by.values())
+    assert all(np.median(v) == frame % 4 for (frame, _), v in by.items() if frame % 4 < 3)
+    assert np.mean([np.median(v) == 3 for (frame, _), v in by.items() if frame % 4 == 3]) > 0.8
+    grey = scene.withColumn("pixels", F.flatten(F.transform("pixels", lambda p: F.array(p, p, p))))
+    again = layout.patch_shifts(grey, patches, probes_of.GATE_WIDTH, probes_of.GATE_PATCH)
+    assert {tuple(r)[:4] for r in again.collect()} == {tuple(r)[:4] for r in shifts}
+    half = scene.withColumn("pixels", F.when(F.col("camera") < 6, F.col("pixels"))).where("camera <> 7")
+    assert layout.patch_shifts(half, patches, probes_of.GATE_WIDTH, probes_of.GATE_PATCH).count() < len(shifts)
+    assert layout.patch_shifts(scene.limit(0), patches, probes_of.GATE_WIDTH, probes_of.GATE_PATCH).count() == 0
 
 
 def test_png_listing(spark, tmp_path):
