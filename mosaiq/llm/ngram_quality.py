@@ -42,6 +42,8 @@ SLICE = 12 << 20
 SHARD = 1 << 20
 #: Distinct words hashed at a time within a slice.
 PIECE = 1 << 14
+#: Words summed by document at a time.
+PIECES = 1 << 17
 WINDOW = 4
 QUANTILE = 0.995
 LEAST_HELD = 50
@@ -413,10 +415,7 @@ def score(sliced: DataFrame, model: DataFrame, start: tuple[float, float], colum
                 if len(parts) != len(keys):
                     raise AssertionError("a slice lacks answers")
                 logp, ratio, count = type_scores(words, keys, parts, start, order)
-                codes, own = words.codes, np.repeat(np.arange(rows.num_rows), words.n)
-                n = np.bincount(own, weights=count[codes], minlength=rows.num_rows).astype(np.int64)
-                total = np.bincount(own, weights=logp[codes], minlength=rows.num_rows)
-                worst = worst_windows(ratio[codes], own, words.n)
+                n, total, worst = (np.concatenate(x) for x in zip(*_by_document(words, logp, ratio, count)))
                 kept = rows.select(columns.names).append_column("_mq_n", pa.array(n)).append_column("_mq_logp", pa.array(total))
                 yield from kept.append_column("_mq_window", pa.array(worst, from_pandas=True)).to_batches()
 
@@ -427,6 +426,17 @@ def score(sliced: DataFrame, model: DataFrame, start: tuple[float, float], colum
     return sliced.join(answers, "slice", "left").select("rows", "words", "answers").mapInArrow(scored, shape)
 
 
+def _by_document(words: Words, logp: np.ndarray, ratio: np.ndarray, count: np.ndarray) -> Iterator[tuple]:
+    """Symbols, log probability and worst window of runs of documents of about PIECES words each (or one longer one)."""
+    ends = np.cumsum(words.n)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PIECES)) + 1).tolist(), len(ends)] if len(ends) else [0, 0]
+    for a, b in zip(cuts, cuts[1:]):
+        n = words.n[a:b]
+        codes, own = words.codes[ends[a] - n[0] : ends[b - 1]] if b > a else words.codes[:0], np.repeat(np.arange(b - a), n)
+        sums = [np.bincount(own, weights=x[codes], minlength=b - a) for x in (count, logp)]
+        yield sums[0].astype(np.int64), sums[1], worst_windows(ratio[codes], own, n)
+
+
 def worst_windows(ratio: np.ndarray, own: np.ndarray, n: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Largest sum of `window` values in a row (all of them in shorter texts) of each text; nan where n is 0."""
     out = np.full(len(n), np.nan)
