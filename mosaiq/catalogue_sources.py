@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mosaiq.operators import layout
+from mosaiq.operators import layout, scales
 from mosaiq.sources import manifests, rigs, tiles
 
 
@@ -78,6 +78,28 @@ def _boxes(spark, sf_dir):
     return layout.overlap_boxes(_overlaps(spark, sf_dir), 128, 8).select("capture", "a", "b", "top", "bottom", "left", "right")
 
 
+def _scales(spark, sf_dir):
+    return scales.pixel_scales(_captures(spark, sf_dir), 32, 12, "capture")
+
+
+def _six(df):
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _delivered(spark, sf_dir):
+    """Vectors as 8 x 8 pictures, at 5 columns and 12 rows."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    pixels = e.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), F.col("v").cast("double").alias("level"))
+    return _six(scales.lanczos(pixels, (8, 8), (5, 12), "vec_id"))
+
+
+def _of_suppliers(rig):
+    """Each supplier's copy of a registered rig."""
+    def query(spark, sf_dir):
+        return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("capture")).crossJoin(F.broadcast(rig(spark)))  # twenty rows
+    return query
+
+
 def _widths(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     tile, fov = (F.col("p_size") * 32).cast("double"), (F.col("p_partkey") % 200).cast("double")
@@ -135,10 +157,13 @@ QUERIES = {
     "files_to_copy": _to_copy,
     "source_survey": _survey,
     "frame_gaps": lambda s, d: tiles.frame_gaps(_files(s, d), ["root", "camera"]),
+    "pixel_scales": lambda s, d: _six(_scales(s, d)),
+    "scales_by_band": lambda s, d: _six(scales.scales_by_band(_scales(s, d), 16, "capture")),
+    "lanczos_pictures": _delivered,
     "overlap_boxes": _boxes,
     "overlap_patches": lambda s, d: layout.overlap_patches(_overlaps(s, d), 64, 8, 4).select("capture", "a", "b", "y", "x"),
-    "rig_twenty": lambda s, d: rigs.twenty_file_rig(s),
-    "rig_fifteen": lambda s, d: rigs.fifteen_file_rig(s),
+    "rig_twenty": _of_suppliers(rigs.twenty_file_rig),
+    "rig_fifteen": _of_suppliers(rigs.fifteen_file_rig),
     "panorama_widths": _widths,
     "rig_of_count": _rig_counts,
     "matching_rigs": lambda s, d: rigs.matching_rigs(_captures(s, d), rigs.registered(s)),
@@ -217,6 +242,31 @@ SELECT capture, a, b, CAST(greatest((r0 - 1) * 8 // {step} * {step}, 0) AS INTEG
   CAST(CASE WHEN seam THEN 0 ELSE greatest((c0 - 1) * 8 // {step} * {step}, 0) END AS INTEGER) AS "left", CAST(CASE WHEN seam THEN {width} ELSE least((c1 + 2) * 8, {width}) END AS INTEGER) AS "right" FROM g"""
 
 
+def _scales_sql() -> str:
+    """SQL of the singular values on a grid of 32 columns over tiles of 12 pixels."""
+    lon, lat = "radians((col + {c} + 0.5::DOUBLE) / 32 * 360 - 180 - yaw)", "radians(90 - (row + {r} + 0.5::DOUBLE) / 16 * 180)"
+    ahead = f"(cos({lat}) * cos({lon}) * cos(radians(elevation)) + sin({lat}) * sin(radians(elevation)))"
+    x = f"((cos({lat}) * sin({lon}) / {ahead} / tan(radians(fov) / 2)) + 1) * 6"
+    y = f"(((cos({lat}) * cos({lon}) * sin(radians(elevation)) - sin({lat}) * cos(radians(elevation))) / {ahead} / tan(radians(fov) / 2)) + 1) * 6"
+    at = ", ".join(f"{e.format(c=c, r=r)} AS {n}{i}, {ahead.format(c=c, r=r)} AS f{n}{i}" for n, e in (("x", x), ("y", y)) for i, (c, r) in enumerate(((0, 0), (1, 0), (0, 1))))
+    return _REGISTRY + f""", grid AS (SELECT DISTINCT capture, yaw, elevation, fov, row, col FROM captures, range(16) r(row), range(32) c(col)),
+placed AS (SELECT capture, row, col, {at} FROM grid), steps AS (SELECT capture, row, col, x1 - x0 AS a, x2 - x0 AS b, y1 - y0 AS c, y2 - y0 AS d FROM placed WHERE fx0 > 0 AND x0 BETWEEN 0 AND 12 AND y0 BETWEEN 0 AND 12),
+parts AS (SELECT capture, row, col, (a * a + b * b + c * c + d * d) / 2 AS m, sqrt(power((a * a + b * b - c * c - d * d) / 2, 2) + power(a * c + b * d, 2)) AS s FROM steps),
+scales AS (SELECT capture, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, min(sqrt(m + s)) AS major, arg_min(sqrt(greatest(m - s, 0)), (sqrt(m + s), sqrt(greatest(m - s, 0)))) AS minor, count(*) AS views FROM parts GROUP BY ALL)
+"""
+
+
+_SINC = "CASE WHEN abs({v}) < 1e-12 THEN 1 ELSE sin({v}) / ({v}) END"
+
+
+def _weights_sql(size: int, new: int) -> str:
+    """SQL of the rows (\"to\", \"at\", w) of Lanczos weights."""
+    step = f"({size}::DOUBLE / {new})"
+    t = f"(((j + 0.5 - (i + 0.5) * {step}) / greatest({step}, 1)) * pi())"
+    return f"""SELECT i AS "to", j AS "at", k / sum(k) OVER (PARTITION BY i) AS w FROM (SELECT i, j, CASE WHEN abs({t}) < 3 * pi() THEN ({_SINC.format(v=t)}) * ({_SINC.format(v=t + ' / 3')}) ELSE 0 END AS k FROM range({new}) a(i), range({size}) b(j)
+  WHERE j >= floor((i + 0.5) * {step} - 3 * greatest({step}, 1) + 0.5) AND j < floor((i + 0.5) * {step} + 3 * greatest({step}, 1) + 0.5))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "tile_files": _LISTING + 'SELECT path, root, camera, "inner", stem, frame, CAST(digits AS INTEGER) AS digits, format FROM files',
     "tile_directories": _LISTING + "SELECT * FROM folders",
@@ -232,10 +282,16 @@ SELECT root, CASE WHEN root = '/data/run6' THEN 0 WHEN root LIKE '/data/run6/%'
     "files_to_copy": _LISTING + "SELECT path, length FROM sample WHERE camera > 2 OR frame % 2 = 1",
     "source_survey": _LISTING + "SELECT root, round(total_bytes / greatest(frames, 1) / 1048576.0::DOUBLE, 9) AS mib, round(total_bytes / greatest(frames, 1) / 1048576.0::DOUBLE * 4 / cameras, 9) AS distinct_mib FROM sets WHERE cameras = 4",
     "frame_gaps": _LISTING + "SELECT root, camera, frame + 1 AS first_missing, ahead - 1 AS last_missing FROM (SELECT *, lead(frame) OVER (PARTITION BY root, camera ORDER BY frame) AS ahead FROM (SELECT DISTINCT root, camera, frame FROM files)) WHERE ahead > frame + 1",
+    "pixel_scales": _scales_sql() + "SELECT capture, row, col, round(major, 6) AS major, round(minor, 6) AS minor, views FROM scales",
+    "scales_by_band": _scales_sql() + """SELECT capture, CASE WHEN abs(90 - (row + 0.5) / 16 * 180) < 30 THEN 'equator' WHEN abs(90 - (row + 0.5) / 16 * 180) < 70 THEN 'middle' WHEN abs(90 - (row + 0.5) / 16 * 180) < 85 THEN 'polar' ELSE 'cap' END AS band,
+  round(min(major), 6) AS major_least, round(median(major), 6) AS major_median, round(max(major), 6) AS major_most, round(min(minor), 6) AS minor_least, round(median(minor), 6) AS minor_median, round(max(minor), 6) AS minor_most,
+  round(median(major / greatest(minor, 1e-9)), 6) AS anisotropy, round(avg(CAST(major > 1 AS DOUBLE)), 6) AS minified FROM scales GROUP BY ALL""",
+    "lanczos_pictures": f"""WITH wx AS ({_weights_sql(8, 5)}), wy AS ({_weights_sql(8, 12)})
+SELECT vec_id, CAST(wy."to" AS INTEGER) AS y, CAST(wx."to" AS INTEGER) AS x, round(sum(CAST(embedding[wy."at" * 8 + wx."at" + 1] AS DOUBLE) * wx.w * wy.w), 6) AS level FROM embeddings, wx, wy GROUP BY vec_id, wy."to", wx."to\"""",
     "overlap_boxes": _overlap_sql(128, 8),
     "overlap_patches": _overlap_sql(64, 4, 8),
-    "rig_twenty": _REGISTRY + "SELECT * FROM twenty",
-    "rig_fifteen": _REGISTRY + "SELECT * FROM fifteen",
+    "rig_twenty": _REGISTRY + "SELECT s_suppkey AS capture, twenty.* FROM twenty, supplier",
+    "rig_fifteen": _REGISTRY + "SELECT s_suppkey AS capture, fifteen.* FROM fifteen, supplier",
     "panorama_widths": """WITH w AS (SELECT p_partkey, CASE WHEN p_partkey % 200 > 0 AND p_partkey % 200 < 180 THEN CAST(round_even(p_size * 32 * 360.0::DOUBLE / (p_partkey % 200), 0) AS BIGINT) END AS w FROM part)
 SELECT p_partkey, w + w % 2 AS native_width, CASE WHEN w IS NOT NULL THEN least(w + w % 2, 3840) END AS analysis_width, CAST(((p_partkey * 7 - 500) % 360 + 360) % 360 AS DOUBLE) AS yaw FROM w""",
     "rig_of_count": "SELECT capture, cameras, CASE cameras WHEN 20 THEN 'twenty' WHEN 15 THEN 'fifteen' END AS rig FROM (SELECT c_custkey % 97 AS capture, count(*) AS cameras FROM customer GROUP BY ALL)",
