@@ -44,6 +44,20 @@ def _warp_plan(spark, sf_dir):
     return geometry.warp_plan(geometry.directions(spark, 96, 48), _views(spark, sf_dir), 8)
 
 
+def _flipped(spark, sf_dir):
+    return _digits(geometry.warp_plan(geometry.directions(spark, 96, 48), _views(spark, sf_dir), 8, power=4, mirrored=False))
+
+
+def _sampled(sampler):
+    """The panorama from tiles read between their pixels, on a grid of 48 by 24."""
+    def query(spark, sf_dir):
+        place = F.col("vec_id").cast("long")
+        tiles = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(place / 25).alias("frame"), (place % 25).alias("camera"), F.col("embedding").alias("pixels"))
+        rows = geometry.gather_sampled(geometry.contributors(geometry.directions(spark, 48, 24), _views(spark, sf_dir)), tiles, 8, sampler)
+        return rows.select("frame", "out_index", F.round("blended", 6).alias("blended"), "contributors")
+    return query
+
+
 def _panorama(spark, sf_dir):
     """Frame f's tile of camera c is vector 25 f + c."""
     place = F.col("vec_id").cast("long")
@@ -60,6 +74,9 @@ def _moving_mean(spark, sf_dir):
 
 
 QUERIES = {
+    "flipped_plan": _flipped,
+    "panorama_bilinear": _sampled("bilinear"),
+    "panorama_bicubic": _sampled("catmullrom"),
     "warp_plan": lambda spark, sf_dir: _digits(_warp_plan(spark, sf_dir)),
     "panorama": _panorama,
     "orientation_groups": lambda spark, sf_dir: geometry.orientation_groups(_views(spark, sf_dir)),
@@ -143,6 +160,18 @@ SELECT job, CAST(position * 2 + 1 AS INTEGER), frame, coalesce(lead(frame) OVER
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), (SELECT r * 8 + c + 1 AS i FROM range(1, 7) a(r), range(1, 7) b(c)) GROUP BY vec_id""",
 }
 
+ORACLE_SQL["flipped_plan"] = _PLAN.replace("aside / (level * ce", "-aside / (level * ce").replace("1 - abs(v)), 2)", "1 - abs(v)), 4)") + "SELECT out_index, camera, source, round(weight, 9) AS weight FROM plan"
+_PLACED = _PLAN.replace("/ 96", "/ 48").replace("% 96", "% 48").replace("// 96", "// 48").replace("/ 48) * radians(180)", "/ 24) * radians(180)").replace("range(96 * 48)", "range(48 * 24)") + """, spots AS (SELECT out_index, camera, (u + 1) * 4 - 0.5 AS x, (v + 1) * 4 - 0.5 AS y,
+  power(least(1 - abs(u), 1 - abs(v)), 2) + 1e-6 AS w FROM plane WHERE abs(u) <= 1 AND abs(v) <= 1),
+firsts AS (SELECT *, CAST(greatest(least(floor(x) - {back}, {last}), 0) AS INTEGER) AS l, CAST(greatest(least(floor(y) - {back}, {last}), 0) AS INTEGER) AS p FROM spots),
+taps AS (SELECT *, greatest(least(x - l - {back}, 1), 0) AS fx, greatest(least(y - p - {back}, 1), 0) AS fy FROM firsts),
+weights AS (SELECT out_index, camera, w, (p + j) * 8 + l + i + 1 AS k, ({wx}) * ({wy}) AS c FROM taps, range({n}) a(i), range({n}) b(j)),
+samples AS (SELECT vec_id // 25 AS frame, out_index, camera, any_value(w) AS w, sum(CAST(embedding[k] AS DOUBLE) * c) AS s FROM weights JOIN embeddings ON vec_id % 25 = camera GROUP BY frame, out_index, camera)
+SELECT CAST(frame AS BIGINT) AS frame, out_index, round(sum(s * w) / greatest(sum(w), 1e-6), 6) AS blended, count(*) AS contributors FROM samples GROUP BY frame, out_index"""
+_linear, _cubic = "CASE {i} WHEN 0 THEN 1 - {f} ELSE {f} END", catalogue_probes._CUBIC
+ORACLE_SQL["panorama_bilinear"] = _PLACED.format(back=0, last=6, n=2, wx=_linear.format(i="i", f="fx"), wy=_linear.format(i="j", f="fy"))
+ORACLE_SQL["panorama_bicubic"] = _PLACED.format(back=1, last=4, n=4, wx=_cubic.format(i="i", f="fx"), wy=_cubic.format(i="j", f="fy"))
+
 ORACLE_SQL["sphere_coverage"] = _PLAN + """, seen AS (SELECT out_index, count(DISTINCT camera) AS views FROM plan GROUP BY out_index)
 SELECT views, round(sum(cos((0.5 - (out_index // 96 + 0.5::DOUBLE) / 48) * pi())) / (SELECT sum(cos((0.5 - (i + 0.5::DOUBLE) / 48) * pi())) * 96 FROM range(48) r(i)), 9) AS share FROM seen GROUP BY views"""
 

@@ -6,9 +6,11 @@ a larger one is refused. Everything else is column arithmetic, so the plan of an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.operators import sampling
+
 # The smallest blending weight, and the luminance break of the sRGB curve.
 LEAST_WEIGHT = 1e-6
 SRGB_BREAK, SRGB_SLOPE, SRGB_GAIN, SRGB_OFFSET, SRGB_POWER = 0.0031308, 12.92, 1.055, 0.055, 2.4
@@ -46,8 +48,9 @@ def tile_rays(views: DataFrame, size: int) -> DataFrame:
     return rows.select("camera", "pixel", (1 / n).alias("rx"), (y / n).alias("ry"), (z / n).alias("rz"))
 
 
-def contributors(grid: DataFrame, views: DataFrame) -> DataFrame:
-    """(out_index, camera, u, v): where on a view's image plane, from -1 to 1 on both axes, a direction falls; edges count."""
+def contributors(grid: DataFrame, views: DataFrame, mirrored: bool = True) -> DataFrame:
+    """(out_index, camera, u, v): where on a view's image plane, from -1 to 1 on both axes, a direction falls; edges count.
+    Tiles are mirrored as captures deliver them; for others u has the other sign."""
     if views.limit(MOST_VIEWS + 1).count() > MOST_VIEWS:
         raise ValueError(f"a rig has at most {MOST_VIEWS} views")
     y, e, half = F.radians("yaw"), F.radians("elevation"), half_extent(F.col("fov"))
@@ -60,16 +63,21 @@ def contributors(grid: DataFrame, views: DataFrame) -> DataFrame:
     below = level * F.col("se") - F.col("vz") * F.col("ce")
     return (
         grid.crossJoin(F.broadcast(axes)).where(ahead > 0)
-        .select("out_index", "camera", (aside / ahead / F.col("half")).alias("u"), (below / ahead / F.col("half")).alias("v"))
+        .select("out_index", "camera", ((aside if mirrored else -aside) / ahead / F.col("half")).alias("u"), (below / ahead / F.col("half")).alias("v"))
         .where("abs(u) <= 1 and abs(v) <= 1")
     )
 
 
-def warp_plan(grid: DataFrame, views: DataFrame, tile: int) -> DataFrame:
+def feather(power: float) -> Column:
+    """Weight of a contribution from its distance to the tile's edge."""
+    edge = F.least(1 - F.abs("u"), 1 - F.abs("v"))
+    return (edge * edge if power == 2 else F.pow(edge, F.lit(float(power)))) + LEAST_WEIGHT
+
+
+def warp_plan(grid: DataFrame, views: DataFrame, tile: int, power: float = 2, mirrored: bool = True) -> DataFrame:
     """(out_index, camera, source, weight): the nearest tile pixel and the feathered weight of each contribution."""
     near = lambda c: F.least(F.floor((F.col(c) + 1) * (tile / 2)), F.lit(tile - 1)).cast("int")
-    edge = F.least(1 - F.abs("u"), 1 - F.abs("v"))
-    return contributors(grid, views).select("out_index", "camera", (near("v") * tile + near("u")).alias("source"), (edge * edge + LEAST_WEIGHT).alias("weight"))
+    return contributors(grid, views, mirrored).select("out_index", "camera", (near("v") * tile + near("u")).alias("source"), feather(power).alias("weight"))
 
 
 def gather(plan: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -81,6 +89,21 @@ def gather(plan: DataFrame, tiles: DataFrame) -> DataFrame:
     return out.withColumn("level", F.rint(F.least(F.greatest("blended", F.lit(0.0)), F.lit(255.0))).cast("int"))
 
 
+#: How a tile is read at a place between its pixels.
+SAMPLERS = {"bilinear": sampling.bilinear, "catmullrom": sampling.bicubic}
+
+
+def gather_sampled(seen: DataFrame, tiles: DataFrame, tile: int, sampler: str = "bilinear", power: float = 2) -> DataFrame:
+    """As `gather`, from contributors, with tiles read between their pixels: (frame, out_index, blended, contributors)."""
+    place = lambda c: sampling.pixel_position(F.col(c), tile)
+    # a row of its own for the place, so that its expressions are not written out again for every tap
+    spots = seen.select("out_index", "camera", F.inline(F.array(F.struct(place("u").alias("px"), place("v").alias("py"), feather(power).alias("weight")))))
+    sample = SAMPLERS[sampler](F.col("pixels"), tile, F.col("px"), F.col("py")).cast("double")
+    rows = spots.join(tiles, "camera").withColumn("sample", sample).where("sample is not null")
+    blended = F.sum(F.col("sample") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(LEAST_WEIGHT))
+    return rows.groupBy("frame", "out_index").agg(blended.alias("blended"), F.count(F.lit(1)).alias("contributors"))
+
+
 def _orientation(views: DataFrame) -> DataFrame:
     return views.withColumns({"_yaw": F.pmod(F.bround("yaw", 3), F.lit(360.0)), "_elevation": F.bround("elevation", 3)})
 
