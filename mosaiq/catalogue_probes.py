@@ -242,7 +242,7 @@ report AS (SELECT frame, pair, count(*) AS patches, median(px) AS median_px, avg
 """
 
 
-def _blur(source: str, name: str, columns: str, radius: int) -> str:
+def blur_sql(source: str, name: str, columns: str, radius: int) -> str:
     """SQL of a triple box blur of columns v (and n, d) over a 6 x 12 grid."""
     text = ""
     for i in range(6):
@@ -255,12 +255,13 @@ def _blur(source: str, name: str, columns: str, radius: int) -> str:
     return text
 
 
-def _filled() -> str:
-    text, source = "", "grid"
+def filled_sql(part: str = "") -> str:
+    """SQL that fills the table grid over reaches 2 to 16; part is put before all names."""
+    text, source = "", f"{part}grid"
     for radius in (2, 4, 8, 16):
-        text += f", pre{radius} AS (SELECT camera, gy, gx, value, covered, value * CAST(covered AS DOUBLE) AS n, CAST(covered AS DOUBLE) AS d FROM {source})" + _blur(f"pre{radius}", f"b{radius}_", "n d", radius)
-        text += f", fill{radius} AS (SELECT camera, gy, gx, CASE WHEN NOT covered AND d > 1e-12 THEN n / d ELSE value END AS value, covered OR d > 1e-12 AS covered FROM b{radius}_5)"
-        source = f"fill{radius}"
+        text += f", {part}pre{radius} AS (SELECT camera, gy, gx, value, covered, value * CAST(covered AS DOUBLE) AS n, CAST(covered AS DOUBLE) AS d FROM {source})" + blur_sql(f"{part}pre{radius}", f"{part}b{radius}_", "n d", radius)
+        text += f", {part}fill{radius} AS (SELECT camera, gy, gx, CASE WHEN NOT covered AND d > 1e-12 THEN n / d ELSE value END AS value, covered OR d > 1e-12 AS covered FROM {part}b{radius}_5)"
+        source = f"{part}fill{radius}"
     return text
 
 
@@ -269,7 +270,7 @@ means AS (SELECT camera, gy, gx, sum(residual * weight) / sum(weight) AS value F
 grid AS (SELECT c.camera, CAST(y.i AS INTEGER) AS gy, CAST(x.i AS INTEGER) AS gx, coalesce(m.value, 0) AS value, m.value IS NOT NULL AS covered
   FROM (SELECT DISTINCT camera FROM means) c CROSS JOIN range(6) y(i) CROSS JOIN range(12) x(i) LEFT JOIN means m ON m.camera = c.camera AND m.gy = y.i AND m.gx = x.i)
 """
-_CORRECTION = _GRID + _filled() + _blur("fill16", "out", "value", 1) + ", result AS (SELECT camera, gy, gx, greatest(least(value, 32), -32) AS value FROM out5)\n"
+_CORRECTION = _GRID + filled_sql() + blur_sql("fill16", "out", "value", 1) + ", result AS (SELECT camera, gy, gx, greatest(least(value, 32), -32) AS value FROM out5)\n"
 _array = lambda body, n: _TILES + f"SELECT vec_id, CAST(i AS INTEGER) AS place, round({body}, 9) AS level FROM tiles, range({n}) r(i)"
 _h264 = "CASE " + " ".join(f"WHEN ceil(w / 16) * ceil(h / 16) <= {p} AND ceil(w / 16) * ceil(h / 16) * f <= {r} AND kbps <= {b * 1.25} THEN '{level}'" for level, p, r, b in delivery.H264) + " END"
 _h265 = "CASE " + " ".join(f"WHEN w * h <= {e[1]} AND w * h * f <= {e[2]} AND kbps <= {e[at]} THEN '{e[0]} {tier}'" for fam in "456" for at, tier in ((3, "main"), (4, "high")) for e in delivery.H265 if e[0][0] == fam) + " END"

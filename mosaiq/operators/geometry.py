@@ -15,6 +15,7 @@ from mosaiq.operators import sampling
 LEAST_WEIGHT = 1e-6
 SRGB_BREAK, SRGB_SLOPE, SRGB_GAIN, SRGB_OFFSET, SRGB_POWER = 0.0031308, 12.92, 1.055, 0.055, 2.4
 MOST_VIEWS = 256
+MOST_SPOTS = 1 << 20
 
 
 def directions(spark: SparkSession, width: int, height: int) -> DataFrame:
@@ -93,15 +94,25 @@ def gather(plan: DataFrame, tiles: DataFrame) -> DataFrame:
 SAMPLERS = {"bilinear": sampling.bilinear, "catmullrom": sampling.bicubic}
 
 
-def gather_sampled(seen: DataFrame, tiles: DataFrame, tile: int, sampler: str = "bilinear", power: float = 2) -> DataFrame:
-    """As `gather`, from contributors, with tiles read between their pixels: (frame, out_index, blended, contributors)."""
+def samples(seen: DataFrame, tiles: DataFrame, tile: int, sampler: str = "bilinear", power: float = 2, channels: tuple = ("pixels",)) -> DataFrame:
+    """(frame, out_index, camera, weight, a level a channel): what each contributor reads between its tile's pixels.
+
+    tiles: (frame, camera, an array a channel); a contribution with a null level is none. Up to `MOST_SPOTS` contributors
+    are broadcast, counted before, so that tiles stay where they are; more are joined by camera."""
     place = lambda c: sampling.pixel_position(F.col(c), tile)
     # a row of its own for the place, so that its expressions are not written out again for every tap
     spots = seen.select("out_index", "camera", F.inline(F.array(F.struct(place("u").alias("px"), place("v").alias("py"), feather(power).alias("weight")))))
-    sample = SAMPLERS[sampler](F.col("pixels"), tile, F.col("px"), F.col("py")).cast("double")
-    rows = spots.join(tiles, "camera").withColumn("sample", sample).where("sample is not null")
-    blended = F.sum(F.col("sample") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(LEAST_WEIGHT))
-    return rows.groupBy("frame", "out_index").agg(blended.alias("blended"), F.count(F.lit(1)).alias("contributors"))
+    if spots.limit(MOST_SPOTS + 1).count() <= MOST_SPOTS:
+        spots = F.broadcast(spots)
+    level = lambda c: SAMPLERS[sampler](F.col(c), tile, F.col("px"), F.col("py")).cast("double")
+    rows = tiles.select("frame", "camera", *channels).join(spots, "camera").select("frame", "out_index", "camera", "weight", *[level(c).alias(c) for c in channels])
+    return rows.where(" and ".join(f"`{c}` is not null" for c in channels))
+
+
+def gather_sampled(seen: DataFrame, tiles: DataFrame, tile: int, sampler: str = "bilinear", power: float = 2) -> DataFrame:
+    """As `gather`, from contributors, with tiles read between their pixels: (frame, out_index, blended, contributors)."""
+    blended = F.sum(F.col("pixels") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(LEAST_WEIGHT))
+    return samples(seen, tiles, tile, sampler, power).groupBy("frame", "out_index").agg(blended.alias("blended"), F.count(F.lit(1)).alias("contributors"))
 
 
 def _orientation(views: DataFrame) -> DataFrame:

@@ -1,12 +1,22 @@
-"""Correction grids per camera: residual cells filled and blurred with window functions, on rows (keys, gy, gx, value).
+"""Correction grids per camera: residuals against the blend by cell, filled and averaged over the grid, round after round.
 
-A grid is dense and small (a few thousand cells a camera and frame); its rows are windows of one camera's row or column.
+A grid is dense and small (a few thousand cells a camera and frame): it is one group of a NumPy step. All else, samples,
+blends and cell sums, are joins and groupings over all frames.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mosaiq.operators import capture, sampling
+from mosaiq.operators.geometry import LEAST_WEIGHT
 
 LIMIT, FLOOR = 32.0, 0.05
 
@@ -19,32 +29,52 @@ def dense(cells: DataFrame, keys: list[str], rows: int, columns: int) -> DataFra
     return full.fillna(0.0, ["value"])
 
 
-def _mean_along(grid: DataFrame, keys: list[str], axis: str, other: str, size: int, radius: int, columns: list[str]) -> DataFrame:
-    line = Window.partitionBy(*keys, other).orderBy(axis)
-    whole, near = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), line.rowsBetween(-radius, radius)
-    before, after = F.greatest(radius - F.col(axis), F.lit(0)), F.greatest(radius - (size - 1 - F.col(axis)), F.lit(0))
-    mean = lambda c: (F.sum(c).over(near) + before * F.first(c).over(whole) + after * F.last(c).over(whole)) / (2 * radius + 1)
-    return grid.withColumns({c: mean(c) for c in columns})
+def _averaging(n: int, radius: int) -> np.ndarray:
+    """Matrix of three running means of 2 * radius + 1 places along a line of n, whose ends are continued."""
+    once = np.zeros((n, n))
+    for step in range(-radius, radius + 1):
+        once[np.arange(n), np.clip(np.arange(n) + step, 0, n - 1)] += 1.0
+    return np.linalg.matrix_power(once / (2 * radius + 1), 3)
+
+
+def averaged(field: np.ndarray, radius: int) -> np.ndarray:
+    """Threefold mean over squares of 2 * radius + 1 cells of a stack (rows, columns, channels)."""
+    down, across = (_averaging(n, radius) for n in field.shape[:2])
+    return np.einsum("ij,jkc,lk->ilc", down, field, across, optimize=True)
+
 
+def spread(field: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Uncovered cells take the averaged value of the covered ones in reach; the reach doubles from two until none is left."""
+    field, covered, radius = np.where(covered[..., None], field, 0.0), covered.copy(), 2
+    while not covered.all() and radius <= min(256, 2 * max(covered.shape)):
+        share = averaged(covered[..., None].astype(float), radius)
+        total = averaged(field * covered[..., None], radius)
+        fresh = ~covered & (share[..., 0] > 1e-12)
+        field[fresh] = total[fresh] / share[fresh]
+        covered |= fresh
+        radius *= 2
+    return field
 
-def box_blur(grid: DataFrame, keys: list[str], rows: int, columns: int, radius: int, *, times: int = 3, values: tuple = ("value",)) -> DataFrame:
-    """Mean over squares of 2 * radius + 1 cells, edges continued, so many times."""
-    for _ in range(times):
-        grid = _mean_along(grid, keys, "gy", "gx", rows, radius, list(values))
-        grid = _mean_along(grid, keys, "gx", "gy", columns, radius, list(values))
-    return grid
 
+def smoothed(means: DataFrame, keys: list[str], channels: list[str], rows: int, columns: int, radius: int) -> DataFrame:
+    """A row of each key: its whole grid, filled and averaged, as an array a channel, row by row. means: (keys, gy, gx, channels).
 
-def fill(grid: DataFrame, keys: list[str], rows: int, columns: int, radii: tuple = (2, 4, 8, 16, 32, 64, 128, 256)) -> DataFrame:
-    """Uncovered cells take the blurred mean of covered ones in reach, radius by radius, by normalised convolution."""
-    for radius in radii:
-        if radius > 2 * max(rows, columns):
-            break
-        share = F.col("covered").cast("double")
-        seen = box_blur(grid.withColumns({"_n": F.col("value") * share, "_d": share}), keys, rows, columns, radius, values=("_n", "_d"))
-        fresh = ~F.col("covered") & (F.col("_d") > 1e-12)
-        grid = seen.withColumn("value", F.when(fresh, F.col("_n") / F.col("_d")).otherwise(F.col("value"))).withColumn("covered", F.col("covered") | fresh).drop("_n", "_d")
-    return grid
+    A group is one key's cells, at most rows * columns of them, so its task is bounded by the grid."""
+    def run(key, part):
+        field, covered = np.zeros((rows, columns, len(channels))), np.zeros((rows, columns), bool)
+        y, x = part["gy"].to_numpy(), part["gx"].to_numpy()
+        field[y, x], covered[y, x] = part[channels].to_numpy(), True
+        field = averaged(spread(field, covered), radius)
+        return pd.DataFrame([[*key, *(field[..., i].ravel() for i in range(len(channels)))]], columns=[*keys, *channels])
+
+    shape = T.StructType([means.schema[k] for k in keys] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in channels])
+    return means.select(*keys, "gy", "gx", *channels).groupBy(*keys).applyInPandas(run, shape)
+
+
+def exploded(grids: DataFrame, keys: list[str], channels: list[str], columns: int) -> DataFrame:
+    """Grids as rows (keys, gy, gx, channels)."""
+    cells = grids.select(*keys, F.posexplode(F.arrays_zip(*channels)).alias("_i", "_v"))
+    return cells.select(*keys, F.floor(F.col("_i") / columns).cast("int").alias("gy"), (F.col("_i") % columns).alias("gx"), *[F.col(f"_v.{c}").alias(c) for c in channels])
 
 
 def cell_means(residuals: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,10 +84,92 @@ def cell_means(residuals: DataFrame, keys: list[str]) -> DataFrame:
     return cells.withColumn("_b", best).where(F.col("w") > FLOOR * F.col("_b")).select(*keys, "gy", "gx", (F.col("s") / F.col("w")).alias("value"))
 
 
+def _held(value: Column) -> Column:
+    return F.greatest(F.least(value, F.lit(LIMIT)), F.lit(-LIMIT))
+
+
 def correction(residuals: DataFrame, keys: list[str], rows: int, columns: int, radius: int = 3) -> DataFrame:
-    """One estimate of each key's grid: cell means, filled, blurred, held within `LIMIT`."""
-    field = box_blur(fill(dense(cell_means(residuals, keys), keys, rows, columns), keys, rows, columns), keys, rows, columns, radius)
-    return field.select(*keys, "gy", "gx", F.greatest(F.least("value", F.lit(LIMIT)), F.lit(-LIMIT)).alias("value"))
+    """One estimate of each key's grid: cell means, filled, averaged, held within `LIMIT`."""
+    grids = smoothed(cell_means(residuals, keys), keys, ["value"], rows, columns, radius)
+    return exploded(grids.withColumn("value", F.transform("value", _held)), keys, ["value"], columns)
+
+
+@dataclass(frozen=True)
+class Estimate:
+    """Sizes of an estimate: the coarse panorama, the grid over it, how far it is averaged, and how often it is made."""
+
+    width: int = 240
+    height: int = 120
+    rows: int = 60
+    columns: int = 120
+    radius: int = 3
+    rounds: int = 2
+
+    def __post_init__(self):
+        if min(self.width, self.height, self.rows, self.columns) < 2 or self.rounds < 1:
+            raise ValueError("an estimate needs two rows and columns and a round")
+
+
+def corrected(samples: DataFrame, grids: DataFrame, channels: list[str], size: Estimate) -> DataFrame:
+    """Samples less their camera's correction, read between the cells; a camera without a grid keeps its levels."""
+    named = grids.select("frame", "camera", *[F.col(c).alias(f"_g_{c}") for c in channels])
+    less = lambda c: F.coalesce(sampling.upsample(F.col(f"_g_{c}"), size.columns, size.rows, F.col("out_index"), size.width, size.height), F.lit(0.0))
+    return samples.join(named, ["frame", "camera"], "left").withColumns({c: F.col(c) - less(c) for c in channels}).drop(*[f"_g_{c}" for c in channels])
+
+
+def mixed(samples: DataFrame, channels: list[str]) -> DataFrame:
+    """The weighted mean of each direction of each frame, a column a channel."""
+    return samples.groupBy("frame", "out_index").agg(*[(F.sum(F.col(c) * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(LEAST_WEIGHT))).alias(c) for c in channels])
+
+
+def _residual_means(samples: DataFrame, channels: list[str], size: Estimate) -> DataFrame:
+    """Weighted mean by cell of what each camera's levels differ from the blend that they are part of; thin cells fall out."""
+    seen = Window.partitionBy("frame", "out_index")
+    total = F.greatest(F.sum("weight").over(seen), F.lit(LEAST_WEIGHT))
+    place = lambda i, cells, pixels: F.least(F.floor(i * cells / pixels), F.lit(cells - 1)).cast("int")
+    left = samples.select(
+        "frame", "camera", "weight", place(F.floor(F.col("out_index") / size.width), size.rows, size.height).alias("gy"), place(F.col("out_index") % size.width, size.columns, size.width).alias("gx"),
+        *[(F.col(c) - F.sum(F.col(c) * F.col("weight")).over(seen) / total).alias(c) for c in channels],
+    )
+    cells = left.groupBy("frame", "camera", "gy", "gx").agg(F.sum("weight").alias("_w"), *[(F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(c) for c in channels])
+    return cells.withColumn("_b", F.max("_w").over(Window.partitionBy("frame", "camera"))).where(F.col("_w") > FLOOR * F.col("_b")).drop("_w", "_b")
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The rows from the shared folder, so that a later round does not read the tiles again; survives lost executors."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="mosaiq-"))
+    return rows.checkpoint()
+
+
+def converged(samples: DataFrame, channels: list[str], size: Estimate = Estimate()) -> tuple[DataFrame, DataFrame]:
+    """Samples (frame, camera, out_index, weight, channels) as written, and each camera's grids (frame, camera, an array a channel).
+
+    A blend holds the camera that is measured against it, so one estimate is too small: the next starts from the samples less
+    what is known, and adds. Samples lie by frame and camera, where a round joins the grids without moving them; only the
+    blend, over cameras, is a shuffle of a round. Rows with a null in a channel or weight must be gone. No rows: no grids."""
+    samples = written(samples.select("frame", "camera", "out_index", "weight", *channels).repartition("frame", "camera"))
+    grids = None
+    for _ in range(size.rounds):
+        now = samples if grids is None else corrected(samples, grids, channels, size)
+        field = smoothed(_residual_means(now, channels, size), ["frame", "camera"], channels, size.rows, size.columns, size.radius)
+        if grids is not None:
+            before = grids.select("frame", "camera", *[F.col(c).alias(f"_g_{c}") for c in channels])
+            field = field.join(before, ["frame", "camera"]).select("frame", "camera", *[F.zip_with(c, f"_g_{c}", lambda a, b: a + b).alias(c) for c in channels])
+        grids = written(field.withColumns({c: F.transform(c, _held) for c in channels}))
+    return samples, grids
+
+
+def agreements(samples: DataFrame, grids: DataFrame, channels: list[str], size: Estimate) -> DataFrame:
+    """Per frame, how far cameras differ in luma before and after, and the largest correction. channels: red, green, blue."""
+    def of(rows, name):
+        luma = rows.select("frame", F.col("out_index").alias("direction"), "camera", "weight", sampling.luma(*[F.col(c) for c in channels]).alias("sample"))
+        return capture.agreement(luma).select("frame", *[F.col(c).alias(f"{name}_{c}") for c in ("median", "mean", "p95", "large_share", "verdict")])
+
+    most = grids.groupBy("frame").agg(F.max(F.greatest(*[F.array_max(F.transform(c, F.abs)) for c in channels])).alias("largest"))
+    return of(samples, "raw").join(of(corrected(samples, grids, channels, size), "corrected"), "frame").join(most, "frame")
 
 
 def largest(grid: DataFrame, keys: list[str]) -> DataFrame:
