@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mosaiq import catalogue_frames, catalogue_harmony, catalogue_objects, catalogue_probes, catalogue_sources
+from mosaiq import catalogue_frames, catalogue_harmony, catalogue_objects, catalogue_probes, catalogue_sources, catalogue_trials
 from mosaiq.operators import capture, detail, geometry, sequence
 
 FLAGSHIP = "agreement"
@@ -175,6 +175,6 @@ ORACLE_SQL["panorama_bicubic"] = _PLACED.format(back=1, last=4, n=4, wx=_cubic.f
 ORACLE_SQL["sphere_coverage"] = _PLAN + """, seen AS (SELECT out_index, count(DISTINCT camera) AS views FROM plan GROUP BY out_index)
 SELECT views, round(sum(cos((0.5 - (out_index // 96 + 0.5::DOUBLE) / 48) * pi())) / (SELECT sum(cos((0.5 - (i + 0.5::DOUBLE) / 48) * pi())) * 96 FROM range(48) r(i)), 9) AS share FROM seen GROUP BY views"""
 
-for _part in (catalogue_sources, catalogue_probes, catalogue_frames, catalogue_objects, catalogue_harmony):
+for _part in (catalogue_sources, catalogue_probes, catalogue_frames, catalogue_objects, catalogue_harmony, catalogue_trials):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -14,10 +14,10 @@ SIDE = 4
 FOLDED = {"png8": (100, 256), "png16": (20000, 65536), "exr": (100, 256)}
 
 
-def _folder(spark) -> str:
-    """A new folder for frames in the shared one; a temporary one only where that is unset."""
+def shared_folder(spark, name: str) -> str:
+    """A new folder in the shared one; a temporary one only where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='mosaiq-')).rstrip('/')}/masters-{uuid.uuid4().hex}"
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='mosaiq-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _written(spark, sf_dir, kind: str) -> str:
@@ -26,7 +26,7 @@ def _written(spark, sf_dir, kind: str) -> str:
     level = F.transform(F.slice("embedding", 1, 3 * SIDE * SIDE), lambda v: (F.floor(F.abs(v.cast("double")) * scale) % most * (257 if kind == "exr" else 1)).cast("int"))
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.format_string("S.%06d", F.col("vec_id")).alias("name"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), level.alias("levels"))
     frames.register(spark)
-    folder = _folder(spark)
+    folder = shared_folder(spark, "masters")
     rows.write.format("masters").mode("append").option("path", folder).option("kind", kind).save()
     return folder
 
