@@ -27,6 +27,8 @@ def _written(spark, sf_dir, kind: str) -> str:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.format_string("S.%06d", F.col("vec_id")).alias("name"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), level.alias("levels"))
     frames.register(spark)
     folder = shared_folder(spark, "masters")
+    # few bytes and much work: as many tasks as the session has
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
     rows.write.format("masters").mode("append").option("path", folder).option("kind", kind).save()
     return folder
 

@@ -4,12 +4,13 @@
 
 * `only` = `headers`: a row a file (path, format, width, height, channels, packing, problem), from its first bytes.
 * else a row an image row (path, y, width, codes: RGB triples in 16 bits, problem): half codes of EXR, levels of PNG. An
-  EXR file is dealt to as many tasks as its bytes need (`task_bytes`), each with a range of its chunks; the plan comes from
-  the listing alone, so the driver opens no file.
+  EXR file is dealt to as many tasks as its bytes need (`task_bytes`), each with a range of its chunks; small files share a
+  task, a file counting as `FILE_BYTES` more than it holds. The plan comes from the listing alone, so the driver opens no file.
 
 Writing rows (name, width, height, levels) with `.format("masters").option("path", folder)`: `kind` is png8, png16 or exr (the
-half codes of the linear values of 16-bit levels). A task writes into its own staging files; they get their names when
-all tasks have ended, and go if the job fails, so no half-written file ever carries a frame's name.
+half codes of the linear values of 16-bit levels). A task writes into its own staging folder, with a list of the names;
+files get them when all tasks have ended, a task's list at a time, and go if the job fails, so no half-written file ever
+carries a frame's name.
 
 Defined results: a file that cannot be read is a row with its `problem` and null fields, the rows before the damage stay;
 an empty folder gives no rows; a frame of the wrong number of levels, or of a level outside its kind, ends the job; rows of
@@ -18,12 +19,17 @@ equal name: the last to be written wins, as with files. A null name or null leve
 
 from __future__ import annotations
 
+import json
 import posixpath
 import struct
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +41,8 @@ HEADERS = "path string, format string, width int, height int, channels array<str
 PIXELS = "path string, y int, width int, codes array<int>, problem string"
 #: Bytes that a header is looked for in at first, and of a file that a task reads by default.
 PROBE, TASK_BYTES = 8192, 64 << 20
+#: What opening a file counts as; tasks that small files are dealt to at least; renames at a time.
+FILE_BYTES, TASKS, MOVES = 64 << 10, 32, 16
 KINDS = {"png8": np.uint8, "png16": np.uint16, "exr": np.uint16}
 
 
@@ -51,31 +59,45 @@ class Share(InputPartition):
     parts: int
 
 
+@dataclass
+class Shares(InputPartition):
+    """What one task reads."""
+
+    held: list[Share]
+
+
 class TileReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.headers = options["path"], options.get("only") == "headers"
         self.task_bytes = int(options.get("task_bytes", TASK_BYTES))
 
-    def partitions(self) -> list[Share]:
+    def partitions(self) -> list[Shares]:
         store, folder = _place(self.folder)
-        found = store.get_file_info(fs.FileSelector(folder, recursive=True))
-        shares = []
-        for f in sorted(found, key=lambda f: f.path):
+        shares: list[tuple[int, Share]] = []
+        for f in sorted(store.get_file_info(fs.FileSelector(folder, recursive=True)), key=lambda f: f.path):
             kind = f.path.rpartition(".")[2].lower()
             if f.type == fs.FileType.File and kind in ("png", "exr"):
                 parts = 1 if self.headers or kind == "png" else max(1, -(-f.size // self.task_bytes))
-                shares += [Share(f.path, i, parts) for i in range(parts)]
-        return shares or [Share("", 0, 0)]
-
-    def read(self, share: Share):
-        if not share.parts:
-            return
+                held = min(f.size, PROBE) if self.headers else f.size // parts
+                shares += [(held + FILE_BYTES, Share(f.path, i, parts)) for i in range(parts)]
+        most = min(self.task_bytes + FILE_BYTES, -(-sum(size for size, _ in shares) // TASKS))
+        tasks, room = [Shares([])], most
+        for size, share in shares:
+            if tasks[-1].held and size > room:
+                tasks.append(Shares([]))
+                room = most
+            tasks[-1].held.append(share)
+            room -= size
+        return tasks
+
+    def read(self, shares: Shares):
         store, _ = _place(self.folder)
-        with store.open_input_file(share.path) as file:
-            try:
-                yield from (self._header if self.headers else self._rows)(share, file)
-            except codecs.Refused as bad:
-                yield (share.path, None, None, None, None, None, str(bad)) if self.headers else (share.path, None, None, None, str(bad))
+        for share in shares.held:
+            with store.open_input_file(share.path) as file:
+                try:
+                    yield from (self._header if self.headers else self._rows)(share, file)
+                except codecs.Refused as bad:
+                    yield (share.path, None, None, None, None, None, str(bad)) if self.headers else (share.path, None, None, None, str(bad))
 
     def _head(self, file) -> dict:
         try:
@@ -127,9 +149,9 @@ class TileSource(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Staged files and the names that they are to get."""
+    """A task's staging folder, which holds its frames by number and the list of their names."""
 
-    files: list[tuple[str, str]]
+    folder: str
 
 
 class MasterWriter(DataSourceWriter):
@@ -142,26 +164,32 @@ class MasterWriter(DataSourceWriter):
 
     def write(self, rows) -> Written:
         store, folder = _place(self.folder)
-        store.create_dir(f"{folder}/{self.staging}", recursive=True)
+        own = f"{folder}/{self.staging}/{uuid.uuid4().hex}"
+        store.create_dir(own, recursive=True)
         most, suffix = np.iinfo(KINDS[self.kind]).max, "exr" if self.kind == "exr" else "png"
-        done = []
+        halves = codecs.level_halves() if self.kind == "exr" else None
+        names = []
         for row in rows:
             levels = np.array(row["levels"], np.int64)
             if row["name"] is None or levels.size != 3 * row["width"] * row["height"] or levels.min(initial=0) < 0 or levels.max(initial=0) > most:
                 raise ValueError(f"frame {row['name']} is not {row['width']} x {row['height']} levels of {self.kind}")
             image = levels.astype(KINDS[self.kind]).reshape(row["height"], row["width"], 3)
-            data = codecs.encode_exr(codecs.level_halves()[image], self.effort) if self.kind == "exr" else codecs.encode_png(image, self.effort)
-            part = f"{folder}/{self.staging}/{uuid.uuid4().hex}.part"
-            with store.open_output_stream(part) as out:
+            data = codecs.encode_png(image, self.effort) if halves is None else codecs.encode_exr(halves[image], self.effort)
+            with store.open_output_stream(f"{own}/{len(names)}.part") as out:
                 out.write(data)
-            done.append((part, f"{folder}/{row['name']}.{suffix}"))
-        return Written(done)
+            names.append(f"{row['name']}.{suffix}")
+        with store.open_output_stream(f"{own}/names.json") as out:
+            out.write(json.dumps(names).encode())
+        return Written(own)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, folder = _place(self.folder)
-        for message in messages:
-            for part, name in message.files if message else []:
-                store.move(part, name)
+        with ThreadPoolExecutor(MOVES) as pool:
+            for message in filter(None, messages):
+                with store.open_input_stream(f"{message.folder}/names.json") as file:
+                    last = {name: i for i, name in enumerate(json.loads(file.read()))}
+                for _ in pool.map(lambda moved: store.move(f"{message.folder}/{moved[1]}.part", f"{folder}/{moved[0]}"), last.items()):
+                    pass
         self._clear(store, folder)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -193,13 +221,16 @@ def missing_rows(pixels: DataFrame, headers: DataFrame) -> DataFrame:
     return headers.where("problem is null").join(read, "path", "left").select("path", gone.alias("missing")).where("missing > 0")
 
 
-def code_table(spark: SparkSession) -> DataFrame:
-    """(code, level, half): the display level of each half code, and the half code of each 16-bit level: 65,536 rows."""
-    rows = zip(range(1 << 16), codecs.half_levels().tolist(), codecs.level_halves().tolist())
-    return spark.createDataFrame(rows, "code int, level float, half int")
-
-
 def levels_of_halves(pixels: DataFrame, spark: SparkSession) -> DataFrame:
-    """The rows of EXR files as display levels: the codes' table is held once a task and looked up whole rows at a time."""
-    table = F.broadcast(code_table(spark).agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "level"))), lambda s: s["level"]).alias("table")))
-    return pixels.crossJoin(table).select("path", "y", "width", F.transform("codes", lambda c: F.get("table", c)).alias("levels"), "problem")  # one row
+    """The rows of EXR files as display levels: the codes' table is made once a task and looked up whole batches at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = codecs.half_levels()
+        for batch in batches:
+            codes = batch.column("codes")
+            levels = pa.array(table[codes.flatten().to_numpy(zero_copy_only=False)])
+            ends = np.append(0, np.cumsum(pc.list_value_length(codes).fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), levels, mask=codes.is_null())
+            yield pa.record_batch([batch.column("path"), batch.column("y"), batch.column("width"), held, batch.column("problem")], ["path", "y", "width", "levels", "problem"])
+
+    return pixels.select("path", "y", "width", "codes", "problem").mapInArrow(run, "path string, y int, width int, levels array<float>, problem string")

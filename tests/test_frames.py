@@ -152,3 +152,25 @@ def test_levels_of_rows(spark, read, tmp_path):
     got = {r.y: r.levels for r in frames.levels_of_halves(read(tmp_path), spark).collect()}
     assert np.abs(np.array([got[y] for y in range(5)]) - np.arange(255).reshape(5, 51)).max() < 0.1
     assert frames.levels_of_halves(read(tmp_path).where("y > 99"), spark).count() == 0
+
+
+def test_small_files_share_tasks_and_each_keeps_its_own_damage(read, tmp_path):
+    """500 files went to 500 tasks before; a file that cannot be read does not end the task that it shares."""
+    image = np.arange(27).reshape(3, 3, 3).astype(np.uint8)
+    for i in range(500):
+        (tmp_path / f"S.{i:04d}.png").write_bytes(codecs.encode_png(image)[: 30 if i % 50 == 7 else None])
+    for only in ("pixels", "headers"):
+        rows = read(tmp_path, only=only)
+        assert 1 < rows.rdd.getNumPartitions() < 2 * frames.TASKS
+        assert {r.path.rsplit("/", 1)[1] for r in rows.collect()} == {f"S.{i:04d}.png" for i in range(500)}
+    found = read(tmp_path).collect()
+    assert sum(r.problem is not None for r in found) == 10 and sum(r.y is not None for r in found) == 490 * 3
+
+
+def test_the_last_of_equal_names_wins(spark, read, tmp_path):
+    frames.register(spark)
+    rows = [(f"S.{i % 3}", 1, 1, [i, i, i]) for i in range(30)]
+    table = spark.createDataFrame(rows, "name string, width int, height int, levels array<int>").coalesce(1)
+    table.write.format("masters").mode("append").option("path", str(tmp_path)).save()
+    assert sorted(os.listdir(tmp_path)) == ["S.0.png", "S.1.png", "S.2.png"]
+    assert {r.path.rsplit("/", 1)[1][2]: r.codes[0] for r in read(tmp_path).collect()} == {"0": 27, "1": 28, "2": 29}
