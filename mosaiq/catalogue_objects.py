@@ -11,6 +11,8 @@ from mosaiq.operators import tracking
 SIDE = 96
 SCALE = tracking.Scale(object=3, surround=6, half=5, radius=8, flat=6.0, moved=0.85)
 PAIR = (1.0, -2.0)
+#: Vectors whose pictures are drawn together.
+DRAWN = 16
 _SHAPE = "clip long, camera int, frame long, width int, luma array<float>"
 
 
@@ -18,10 +20,10 @@ def _pictures(spark, sf_dir, blend: float = 1.0):
     """Frame 20 c + t of the vectors is frame t of clip c: two blobs on a faint texture, which swing by the clip's step from
     frame to frame (-1, 0, 1, 2 steps of the middle, then again), seen by camera 2 a row lower and two columns to the left."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long"), "embedding")
-    y, x = np.meshgrid(np.arange(SIDE), np.arange(SIDE), indexing="ij")
+    line = np.arange(SIDE)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, DRAWN) for b in batches for i in range(0, b.num_rows, DRAWN)):
             columns = [[], [], [], [], []]
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 clip, t = divmod(k, 20)
@@ -30,7 +32,7 @@ def _pictures(spark, sf_dir, blend: float = 1.0):
                     luma = 100 + 0.5 * np.tile(np.reshape(np.clip(v, -2, 2), (8, 8)), (SIDE // 8, SIDE // 8))
                     for i, (cy, cx) in enumerate(((36, 36), (60, 60))):
                         cy, cx = np.array([cy, cx]) + step * (t % 4 - 1) * (1 if i else -1) + (np.array(PAIR) if camera == 2 else 0)
-                        luma = luma + blend * (60 if i else -50) * np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / 3.0)
+                        luma = luma + blend * (60 if i else -50) * np.exp(-((line - cy) ** 2) / 3.0)[:, None] * np.exp(-((line - cx) ** 2) / 3.0)
                     for column, value in zip(columns, (clip, camera, t, SIDE, luma.ravel().astype(np.float32))):
                         column.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float32())))], [c.split()[0] for c in _SHAPE.split(", ")])

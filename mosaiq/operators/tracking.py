@@ -1,7 +1,8 @@
 """Small objects in pictures, their motion from frame to frame, and whether the neighbouring camera shows them too.
 
-Pictures are rows (keys, camera, frame, width, luma: rows of levels). Frames meet by an equi-join on the frame's number, so
-t-1, t and t+1 are shuffles on (keys, camera, frame); within a row all objects are handled as one stack in NumPy. Matching
+Pictures are rows (keys, camera, frame, width, luma: rows of levels). Frames t-1, t and t+1 meet in runs of `RUN` frames: a
+picture is shuffled once to its run, and at a run's edge to the next one too; a run is read in order of frames, of which a
+task holds three. No table of pictures is ever broadcast. All objects of a picture are handled as one stack in NumPy. Matching
 is a normalised correlation over a search window: products by FFT, the windows' norms from summed-area tables. What is
 found becomes rows, and shares, offsets and residuals are groupings of those.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Frames that are dealt out together.
+RUN = 16
+
+
 @dataclass(frozen=True)
 class Scale:
     """Sizes in pixels and thresholds; the defaults are the fixed values for panoramas of 3840 columns."""
@@ -161,7 +167,8 @@ def survival(found: DataFrame, blended: DataFrame, *keys: str, scale: Scale = Sc
                 here, _ = strengths(_picture(batch, "luma", i), y.astype(int), x.astype(int), scale, sign)
                 yield _rows(batch, i, len(keys) + 1, shape, here / contrast)
 
-    rows = blended.where("luma is not null").join(listed, [*keys, "frame"]).select(*keys, "frame", "width", "luma", "at")
+    # a table of pictures looks small before it is drawn, so it is said that none is to be broadcast
+    rows = blended.where("luma is not null").join(listed.hint("merge"), [*keys, "frame"]).select(*keys, "frame", "width", "luma", "at")
     shares = rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in shape))
     return shares.groupBy(*keys, "frame").agg(
         F.count("kept").alias("objects"), F.median("kept").alias("median_kept"), F.percentile("kept", 0.1).alias("p10_kept"),
@@ -171,26 +178,47 @@ def survival(found: DataFrame, blended: DataFrame, *keys: str, scale: Scale = Sc
 def moving_objects(pictures: DataFrame, *keys: str, scale: Scale = Scale()) -> DataFrame:
     """(keys, camera, frame, y, x, contrast, sign, vy, vx) of objects that are found a frame before at another place."""
     by = [*keys, "camera", "frame"]
-    before = pictures.withColumn("frame", F.col("frame") + 1).select(*by, F.col("luma").alias("earlier"))
-    rows = pictures.join(before, by).where("luma is not null and earlier is not null").select(*by, "width", "luma", "earlier")
-    shape = [(k, t) for k, t in rows.select(*by).dtypes] + [("y", "int"), ("x", "int"), *[(c, "double") for c in ("contrast", "sign", "vy", "vx")]]
+    shape = [(k, t) for k, t in pictures.select(*by).dtypes] + [("y", "int"), ("x", "int"), *[(c, "double") for c in ("contrast", "sign", "vy", "vx")]]
+    known = pictures.where("luma is not null").dropna(subset=by)
+    rows = _by_runs(_in_runs(known.select(*by, "width", "luma"), 0, 1), *keys, "camera")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now, earlier, here = None, None, [], []
         for batch in batches:
             for i in range(batch.num_rows):
-                luma, earlier = _picture(batch, "luma", i), _picture(batch, "earlier", i)
+                *key, frame, own = (batch.column(c)[i].as_py() for c in (*keys, "camera", "_run", "frame", "_own"))
+                if (key, frame) != (group, now):
+                    earlier = here if key == group and frame == now + 1 else []
+                    group, now, here = key, frame, []
+                luma = _picture(batch, "luma", i)
+                here.append(luma)
+                if not earlier or not own:
+                    continue
                 y, x = find_objects(luma, scale, _edge(scale))
                 if not len(y):
                     continue
                 contrast, sign = strengths(luma, y, x, scale)
-                found = best_places(_matched(luma, earlier, y, x, scale), scale.radius)
-                good = (contrast >= scale.contrast) & (found[:, 2] >= scale.tracked) & (np.hypot(found[:, 0], found[:, 1]) >= scale.moved)
-                if good.any():
-                    yield _rows(batch, i, len(by), shape, y[good], x[good], contrast[good], sign[good], -found[good, 0], -found[good, 1])
+                for before in earlier:
+                    found = best_places(_matched(luma, before, y, x, scale), scale.radius)
+                    good = (contrast >= scale.contrast) & (found[:, 2] >= scale.tracked) & (np.hypot(found[:, 0], found[:, 1]) >= scale.moved)
+                    if good.any():
+                        yield _rows(batch, i, len(by), shape, y[good], x[good], contrast[good], sign[good], -found[good, 0], -found[good, 1])
 
     return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in shape))
 
 
+def _in_runs(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """Rows with their runs of RUN frames (`_run`); `_own` is false for the copies that a run has of so many frames before
+    and after it."""
+    of = lambda k: F.floor((F.col("frame") + k) / RUN)
+    runs = F.array_distinct(F.array(*[of(k) for k in range(-before, after + 1)]))
+    return rows.withColumn("_run", F.explode(runs)).withColumn("_own", F.col("_run") == of(0))
+
+
+def _by_runs(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "frame")
+
+
 def correspondences(movers: DataFrame, pictures: DataFrame, pairs: DataFrame, *keys: str, scale: Scale = Scale()) -> DataFrame:
     """(keys, a, b, frame, y, x, vy, vx, ahead, within, dy, dx, correlation, kept): for each mover of camera a its best place
     in camera b's picture `ahead` frames later (-1, 0, 1), within each radius of the curve and the whole one (the last only
@@ -199,27 +227,56 @@ def correspondences(movers: DataFrame, pictures: DataFrame, pairs: DataFrame, *k
     order = F.row_number().over(_by(keys).orderBy("y", "x")) - 1
     thin = movers.withColumns({"n": n, "i": order}).where(F.col("i") % F.ceil(F.col("n") / scale.most) == 0)
     listed = thin.groupBy(*keys, "camera", "frame").agg(F.sort_array(F.collect_list(F.struct("y", "x", "contrast", "sign", "vy", "vx"))).alias("at"))
-    here = pictures.join(listed, [*keys, "camera", "frame"]).join(F.broadcast(pairs.select("a", "b")), F.col("camera") == F.col("a"))
-    rows = here.select(*keys, "a", "b", "frame", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])).alias("ahead"), "width", "luma", "at")
-    there = pictures.select(*keys, F.col("camera").alias("b"), F.col("frame").alias("then"), F.col("luma").alias("other")).where("other is not null")
-    rows = rows.withColumn("then", F.col("frame") + F.col("ahead")).join(there, [*keys, "b", "then"]).where("luma is not null")
-    by = [*keys, "a", "b", "frame", "ahead"]
-    rows = rows.select(*by, "width", "luma", "other", "at")
-    shape = [(k, t) for k, t in rows.select(*by).dtypes] + [("y", "int"), ("x", "int")] + [(c, "double") for c in ("vy", "vx", "within", "dy", "dx", "correlation", "kept")]
+    by = [*keys, "a", "b", "frame"]
+    pairs = F.broadcast(pairs.select("a", "b").distinct())
+    known = pictures.where("luma is not null").dropna(subset=[*keys, "camera", "frame"])
+    empty = F.lit(None).cast(listed.schema["at"].dataType)
+    columns = lambda df, role, luma, at: df.select(*by, F.lit(role).alias("role"), luma.alias("luma"), (F.col("width") if role < 2 else F.lit(None).cast("int")).alias("width"), at.alias("at"))
+    own = known.join(pairs, F.col("camera") == F.col("a"))
+    other = known.join(pairs, F.col("camera") == F.col("b"))
+    marks = listed.join(pairs, F.col("camera") == F.col("a"))
+    # movers and both pictures meet in runs, so pictures are shuffled as often as they take part in a pair, and joined to nothing
+    held = columns(own, 0, F.col("luma"), empty).unionAll(columns(marks, 2, F.lit(None).cast(known.schema["luma"].dataType), F.col("at")))
+    rows = _by_runs(_in_runs(held, 0, 0).unionAll(_in_runs(columns(other, 1, F.col("luma"), empty), 1, 1)), *keys, "a", "b")
+    kinds = dict(rows.dtypes)
+    shape = [(k, kinds[k]) for k in by] + [("ahead", "int"), ("y", "int"), ("x", "int")] + [(c, "double") for c in ("vy", "vx", "within", "dy", "dx", "correlation", "kept")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}  # of each frame: its keys, and rows of the three roles
+
+        def told(until: float) -> Iterator[pa.RecordBatch]:
+            for frame in sorted(f for f in held if f <= until):
+                key, (lumas, _, marks) = held[frame]
+                for ahead in (-1, 0, 1):
+                    for luma, other, at in product(lumas, held[frame + ahead][1][1] if frame + ahead in held else [], marks):
+                        y, x, contrast, sign, vy, vx = at
+                        y, x = y.astype(int), x.astype(int)
+                        maps = _matched(luma, other, y, x, scale)
+                        for share in (1.0,) if ahead else (*scale.curve, 1.0):
+                            found = best_places(maps, scale.radius * share)
+                            kept, _ = strengths(other, y + np.rint(found[:, 0]).astype(int), x + np.rint(found[:, 1]).astype(int), scale, sign)
+                            yield _rows(key, 0, len(by), shape, np.full(len(y), ahead), y, x, vy, vx, np.full(len(y), share), *found.T, kept / contrast)
+                held[frame][1][0], held[frame][1][2] = [], []  # told once; the next frame looks back at its other picture
+            for frame in [f for f in held if f < until]:
+                del held[frame]
+
         for batch in batches:
             for i in range(batch.num_rows):
-                luma, other = _picture(batch, "luma", i), _picture(batch, "other", i)
-                y, x, contrast, sign, vy, vx = np.array([[p[c] for c in ("y", "x", "contrast", "sign", "vy", "vx")] for p in batch.column("at")[i].as_py()]).T
-                y, x = y.astype(int), x.astype(int)
-                maps = _matched(luma, other, y, x, scale)
-                for share in (1.0,) if batch.column("ahead")[i].as_py() else (*scale.curve, 1.0):
-                    found = best_places(maps, scale.radius * share)
-                    kept, _ = strengths(other, y + np.rint(found[:, 0]).astype(int), x + np.rint(found[:, 1]).astype(int), scale, sign)
-                    yield _rows(batch, i, len(by), shape, y, x, vy, vx, np.full(len(y), share), *found.T, kept / contrast)
-
-    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in shape)).dropDuplicates([*by, "y", "x", "within"])
+                *key, frame = (batch.column(c)[i].as_py() for c in (*keys, "a", "b", "_run", "frame"))
+                if key != group:
+                    yield from told(float("inf"))
+                    group, held = key, {}
+                elif frame not in held:
+                    yield from told(frame - 2)
+                if frame not in held:
+                    held[frame] = (batch.select(by).take(pa.array([i])), [[], [], []])
+                role = batch.column("role")[i].as_py()
+                value = np.array([[p[c] for c in ("y", "x", "contrast", "sign", "vy", "vx")] for p in batch.column("at")[i].as_py()]).T if role == 2 else _picture(batch, "luma", i)
+                held[frame][1][role].append(value)
+        yield from told(float("inf"))
+
+    by_ahead = [*by, "ahead"]
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in shape)).dropDuplicates([*by_ahead, "y", "x", "within"])
 
 
 def _by(keys):

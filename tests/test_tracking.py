@@ -79,3 +79,21 @@ def test_missing_pictures(spark):
     none = pictures.limit(0)
     assert tracking.moving_objects(none, "clip", scale=S).count() == 0 == tracking.objects(none, "clip", scale=S).count()
     assert tracking.pair_report(tracking.correspondences(tracking.moving_objects(none, "clip", scale=S), none, pairs, "clip", scale=S), "clip", scale=S).count() == 0
+
+
+def test_pictures_are_never_broadcast(spark):
+    """They look small to the planner before they are drawn: all of them went to the driver."""
+    for name in ("moving_objects", "object_survival"):
+        plan = planted.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and "BroadcastExchange" not in plan
+
+
+def test_motions_across_the_edges_of_runs(spark):
+    """Frames far along, below zero and twice: each pair of neighbours is met once for each pair of rows, as by a join."""
+    pictures = planted._pictures(spark, "/root/testdata/sf0.001").where("clip < 8 and camera = 1").cache()
+    want = {(r.clip, r.frame, r.y, r.x) for r in tracking.moving_objects(pictures, "clip", scale=S).collect()}
+    for shift in (-tracking.RUN - 3, 5, 11):
+        moved = pictures.withColumn("frame", F.col("frame") + shift)
+        assert {(r.clip, r.frame - shift, r.y, r.x) for r in tracking.moving_objects(moved, "clip", scale=S).collect()} == want
+    twice = pictures.unionAll(pictures.where("frame = 4"))
+    assert tracking.moving_objects(twice, "clip", scale=S).count() == len(want) + sum((frame in (4, 5)) for _, frame, _, _ in want)
