@@ -1,16 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval, then longest-common-subsequence and answer checks.
 
 Benchmark items are cut into chunks of at most `CHUNK` words. A randomised SVD of TF-IDF rows (hashed to `DIMS` terms) runs
-as sums of per-task parts A'AX over the chunks of a block and a bounded sample of corpus passages; its basis has `RANK`
-dimensions, well under the `BLOCK` chunks that share it. Chunks weigh more than the sample, so the space is theirs first.
+as sums of per-task parts A'AX over all the chunks of a block; its basis has `RANK` dimensions, well under the `BLOCK` chunks
+that share it, so the space is theirs and no choice of corpus passages bears on it.
 Every passage (window of two half-overlapping steps) of every document is projected into that space and compared with every
 chunk by the cosine of the two projections. Candidates over `COSINE` are checked: `FEWEST` of the chunk's `ANSWERS` rarest
 words must be there, and the chunk's longest common subsequence with the passage and its surroundings must hold `SHARE` of
 its words, so a paraphrase that keeps most words in order is found.
 
 Bounds: a block's basis is DIMS x RANK (4 MB) and `BLOCKS` of them are broadcast and searched in one pass over the
-documents; a larger benchmark takes more passes. The SVD is fitted on at most `SAMPLE` documents (of smallest hashes);
-document frequencies are of all documents; every passage is scored.
+documents; a larger benchmark takes more passes. Document frequencies are of all documents; every passage is scored.
 
 Defined results: null and empty texts or items leak nothing; repeated rows of a doc_id count once; a null doc_id is
 reported as null; empty tables give an empty result; other columns stay in `clean`.
@@ -33,8 +32,6 @@ CHUNK = 32
 STEP = 32
 RANK = 64
 BLOCK, BLOCKS = 384, 16
-SAMPLE = 400
-WEIGHT = 16.0
 COSINE = 0.35
 ANSWERS, FEWEST = 5, 2
 SHARE = 0.55
@@ -212,27 +209,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, cosine: float = COSINE) -> D
     out = spark.createDataFrame([], schema)
     df, total = term_frequencies(texts)
     idf = np.log((1.0 + total) / (1.0 + df)).astype(np.float32) + np.float32(0.05)
-    sample: list[DataFrame] = []
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.by_bytes(batches, 0):
-            for text in batch.column(0).to_pylist():
-                made = [_weighted(c, idf) for c in chunks_of(text)]
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.float64()))], names=["t", "v"])
-
-    def sampled() -> DataFrame:
-        if not sample:
-            keyed = texts.select(F.xxhash64("doc_id", "text").alias("k"), "text")
-            chosen = {r["k"] for r in keyed.select("k").orderBy("k").limit(SAMPLE).collect()}
-            rows = keyed.join(F.broadcast(spark.createDataFrame([(k,) for k in chosen], "k long")), "k").dropDuplicates(["k"])
-            sample.append(common.materialise(rows.select("text").mapInArrow(passages, "t array<long>, v array<double>"), "passages"))
-        return sample[0]
 
     def solved(chunks: list[tuple[int, np.ndarray]]) -> Block:
         weighted = [_weighted(h, idf) for _, h in chunks]
-        own = spark.createDataFrame([(t.tolist(), (v * WEIGHT).tolist()) for t, v in weighted], "t array<long>, v array<double>")
-        return Block(chunks, idf, randomised_svd(common.materialise(own.unionAll(sampled()).coalesce(4), "svd_rows"), min(RANK, max(2, len(chunks) // 2))))
+        own = spark.createDataFrame([(t.tolist(), v.tolist()) for t, v in weighted], "t array<long>, v array<double>")
+        return Block(chunks, idf, randomised_svd(common.materialise(own.coalesce(4), "svd_rows"), min(RANK, max(2, len(chunks) // 2))))
 
     def searched(blocks: list[Block]) -> DataFrame:
         shared = spark.sparkContext.broadcast(blocks)

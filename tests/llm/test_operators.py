@@ -337,3 +337,15 @@ def test_special_tokens_are_the_librarys(spark):
         want = {i: own.encode(t, add_special_tokens=False).ids + [end] for i, t in enumerate(texts)}
         got = {r.doc_id: (r[column], r.ids_crc32) for r in operator(rows).collect()}
         assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
+def test_the_latent_space_is_of_all_chunks_and_no_sample_of_documents(spark, monkeypatch):
+    from mosaiq.llm import decontaminate
+
+    seen, plain = [], decontaminate.randomised_svd
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda rows, rank: seen.append(rows.count()) or plain(rows, rank))
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"other text {i} " * 9) for i in range(30)] + [(99, f"so it begins {item} and ends")], "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(7, item), (8, "short one here")], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(99, 7)}
+    assert seen == [3]  # chunks alone: two of the first item, one of the second
