@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from mosaiq.catalogue_frames import shared_folder
-from mosaiq.operators import geometry, harmonise, holdout, rigfit, stream
+from mosaiq.operators import geometry, holdout, rigfit, stream
 
 VIEW = holdout.View(width=16, height=8, block=2, wrap=45.0)
 #: Days from 1990 on that orders are cut into parts at; earlier and later ones are in the first and last part.
@@ -62,7 +62,7 @@ def _turned(s, d):
     """Ten vectors make a panorama of ten plane waves through the sphere; its tile is what a view turned as planted sees."""
     n = int(s.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work: as many tasks as the session has
     e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.floor(F.col("vec_id") / WAVES).cast("long").alias("group"), F.slice("embedding", 1, 4).alias("v"))
-    waves = e.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("w")).select("group", F.flatten("w.v").alias("waves"))
+    waves = e.repartition(n, "group").groupBy("group").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("w")).select("group", F.flatten("w.v").alias("waves"))
     lon, lat = (((np.arange(WIDTH) + 0.5) / WIDTH - 0.5) * 2 * np.pi)[None, :, None], ((0.5 - (np.arange(HEIGHT) + 0.5) / HEIGHT) * np.pi)[:, None, None]
 
     def draw(frames):
@@ -73,15 +73,14 @@ def _turned(s, d):
                 level = np.cos(np.cos(lat) * (np.cos(lon) * x + np.sin(lon) * y) + np.sin(lat) * z + 3 * at).sum(2)
                 yield pd.DataFrame({"group": [group], "panorama": [level.ravel()]})
 
-    spheres = waves.repartition(n, "group").mapInPandas(draw, "group long, panorama array<double>")
-    at = _shown(*_planted(F.col("group")).values(), F.col("i"))
-    seen = spheres.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(TILE * TILE - 1)))).select("group", "i", "panorama", F.get("panorama", at).alias("v"))
-    tiles = seen.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("p"))
-    return tiles.select("group", F.col("p.v").alias("pixels")).join(spheres, "group")
+    spheres = waves.mapInPandas(draw, "group long, panorama array<double>")
+    turn = list(_planted(F.col("group")).values())
+    seen = F.transform(F.sequence(F.lit(0), F.lit(TILE * TILE - 1)), lambda i: F.get("panorama", _shown(*turn, i)))
+    return spheres.select("group", seen.alias("pixels"), "panorama")
 
 
 def _fitted(s, d):
-    found = rigfit.fitted(harmonise.written(_turned(s, d)), "group", SWEEPS, TILE, WIDTH, HEIGHT)
+    found = rigfit.fitted(_turned(s, d), "group", SWEEPS, TILE, WIDTH, HEIGHT)
     return _round(found.withColumn("yaw", F.pmod("yaw", F.lit(360.0)))).select("group", *rigfit.TURN, "score")
 
 
