@@ -80,10 +80,13 @@ class Words:
             lists = pc.ascii_split_whitespace(texts)
             counts.append(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             coded.append(pc.dictionary_encode(lists.flatten()))
+            del lists
         n = np.concatenate(counts)
         coded = pa.chunked_array(coded).unify_dictionaries()
         words = coded.chunk(0).dictionary
         codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+        del coded
+        pa.default_memory_pool().release_unused()  # the pool would keep what the parts took
         lens = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(codes):
             real = lens[codes] > 0
@@ -91,6 +94,7 @@ class Words:
             ends = np.cumsum(n)
             n = upto[ends] - upto[ends - n]
             codes = codes[real]
+            del real, upto
         again = np.append(False, codes[1:] == codes[:-1])[: len(codes)]
         again[(np.cumsum(n) - n)[n > 0]] = False
         often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words first: small codes
@@ -102,8 +106,11 @@ class Words:
         place = np.zeros(2 * len(words), np.int32)
         place[used] = np.arange(len(used), dtype=np.int32)
         own, types = place[kinds], used
-        chars = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4")
-        return cls(own.astype(np.int32), n, np.asarray(types, np.int64), np.where(chars == 0, 0xFFFD, chars).astype(np.uint32), lens)
+        del kinds, codes, again
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")  # in Arrow: no string a word
+        chars = np.frombuffer(whole[0].as_py().encode("utf-32-le"), "<u4").astype(np.uint32)
+        chars[chars == 0] = 0xFFFD
+        return cls(own.astype(np.int32, copy=False), n, np.asarray(types, np.int64), chars, lens)
 
     def packed(self) -> bytes:
         text = np.frombuffer(self.chars.tobytes().decode("utf-32-le").encode(), np.uint8)
@@ -218,8 +225,11 @@ def slices(docs: DataFrame, names: list[str]) -> DataFrame:
             held.append(batch)
             size += pc.sum(pc.binary_length(batch.column(place))).as_py() or 0
             if size >= SLICE:
-                yield close()
+                row = close()
                 held, size = [], 0
+                yield row
+                del row
+                pa.default_memory_pool().release_unused()
         if held:
             yield close()
 

@@ -1,6 +1,9 @@
 """A few insults in an otherwise good text must count, however long it is."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from mosaiq.llm import ngram_quality
 
@@ -40,3 +43,16 @@ def test_worst_windows():
         at += k
         w = min(7, k)
         assert np.isnan(g) if not k else np.isclose(g, max(part[i : i + w].sum() for i in range(k - w + 1)))
+
+
+def test_words_are_split_without_a_string_a_word():
+    """Bytes that NumPy and Python take at most: 170 a distinct word when each was a string of its own."""
+    texts = pa.array([" ".join(f"w{i * 2654435761 % (1 << 32):08x}" for i in range(k, k + 1000)) for k in range(0, 100_000, 1000)])
+    ngram_quality.Words.of([texts[:1]])
+    tracemalloc.start()
+    words = ngram_quality.Words.of([texts])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words.types) == 100_000 and most < 160 * 100_000
+    odd = ngram_quality.Words.of([pa.array([" a b b ", None, "\u00e9\U0001f600 \0x a"])])
+    assert odd.n.tolist() == [3, 0, 3] and odd.chars.tolist() == [97, 98, 233, 128512, 0xFFFD, 120] and ngram_quality.Words.of([pa.array(["", None])]).chars.size == 0
