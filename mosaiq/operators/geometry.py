@@ -16,6 +16,8 @@ LEAST_WEIGHT = 1e-6
 SRGB_BREAK, SRGB_SLOPE, SRGB_GAIN, SRGB_OFFSET, SRGB_POWER = 0.0031308, 12.92, 1.055, 0.055, 2.4
 MOST_VIEWS = 256
 MOST_SPOTS = 1 << 20
+#: Tiles whose samples a task sums: a hundred frames or so.
+TILES_A_TASK = 1 << 12
 
 
 def directions(spark: SparkSession, width: int, height: int) -> DataFrame:
@@ -81,9 +83,21 @@ def warp_plan(grid: DataFrame, views: DataFrame, tile: int, power: float = 2, mi
     return contributors(grid, views, mirrored).select("out_index", "camera", (near("v") * tile + near("u")).alias("source"), feather(power).alias("weight"))
 
 
+def _few(plan: DataFrame) -> DataFrame:
+    """A plan, to be broadcast if it has up to `MOST_SPOTS` rows, counted before."""
+    return F.broadcast(plan) if plan.limit(MOST_SPOTS + 1).count() <= MOST_SPOTS else plan
+
+
+def _by_frame(tiles: DataFrame) -> DataFrame:
+    """Tiles dealt by frame, `TILES_A_TASK` a task or fewer, so that a broadcast plan's samples are summed where they are read:
+    only tiles are shuffled, and a task's sums do not grow with the table."""
+    n = max(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tiles.count() // TILES_A_TASK))
+    return tiles.repartition(n, "frame")
+
+
 def gather(plan: DataFrame, tiles: DataFrame) -> DataFrame:
     """The blended level of each direction, from tiles (frame, camera, pixels); rounded half to even as `level`."""
-    seen = plan.join(tiles, "camera").withColumn("sample", F.get("pixels", F.col("source")).cast("double")).where("sample is not null")
+    seen = _by_frame(tiles).join(_few(plan), "camera").withColumn("sample", F.get("pixels", F.col("source")).cast("double")).where("sample is not null")
     out = seen.groupBy("frame", "out_index").agg(
         (F.sum(F.col("sample") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(LEAST_WEIGHT))).alias("blended"), F.count(F.lit(1)).alias("contributors")
     )
@@ -102,8 +116,7 @@ def samples(seen: DataFrame, tiles: DataFrame, tile: int, sampler: str = "biline
     place = lambda c: sampling.pixel_position(F.col(c), tile)
     # a row of its own for the place, so that its expressions are not written out again for every tap
     spots = seen.select("out_index", "camera", F.inline(F.array(F.struct(place("u").alias("px"), place("v").alias("py"), feather(power).alias("weight")))))
-    if spots.limit(MOST_SPOTS + 1).count() <= MOST_SPOTS:
-        spots = F.broadcast(spots)
+    spots = _few(spots)
     level = lambda c: SAMPLERS[sampler](F.col(c), tile, F.col("px"), F.col("py")).cast("double")
     rows = tiles.select("frame", "camera", *channels).join(spots, "camera").select("frame", "out_index", "camera", "weight", *[level(c).alias(c) for c in channels])
     return rows.where(" and ".join(f"`{c}` is not null" for c in channels))
@@ -112,7 +125,7 @@ def samples(seen: DataFrame, tiles: DataFrame, tile: int, sampler: str = "biline
 def gather_sampled(seen: DataFrame, tiles: DataFrame, tile: int, sampler: str = "bilinear", power: float = 2) -> DataFrame:
     """As `gather`, from contributors, with tiles read between their pixels: (frame, out_index, blended, contributors)."""
     blended = F.sum(F.col("pixels") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(LEAST_WEIGHT))
-    return samples(seen, tiles, tile, sampler, power).groupBy("frame", "out_index").agg(blended.alias("blended"), F.count(F.lit(1)).alias("contributors"))
+    return samples(seen, _by_frame(tiles), tile, sampler, power).groupBy("frame", "out_index").agg(blended.alias("blended"), F.count(F.lit(1)).alias("contributors"))
 
 
 def _orientation(views: DataFrame) -> DataFrame:
