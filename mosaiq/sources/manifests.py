@@ -14,28 +14,31 @@ FIELDS = (
 VIEW_FIELDS = (("directory", "string"), ("pitch", "number"), ("yaw", "number"), ("roll", "number"), ("fov", "number"))
 
 
+#: Kinds by the name that a variant's schema begins with; any other is a string.
+KINDS = {"VOID": "null", "BIGINT": "integer", "DOUBLE": "number", "DECIMAL": "number", "FLOAT": "number", "BOOLEAN": "boolean", "ARRAY": "list", "OBJECT": "object"}
+
+
 def json_kind(value: Column) -> Column:
     """Kind of a variant: missing (no such path), null, integer, number, string, boolean, list or object."""
-    name = F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)
-    return (
-        F.when(value.isNull(), "missing").when(name == "VOID", "null").when(name == "BIGINT", "integer").when(name.isin("DOUBLE", "DECIMAL", "FLOAT"), "number")
-        .when(name == "BOOLEAN", "boolean").when(name == "ARRAY", "list").when(name == "OBJECT", "object").otherwise("string")
-    )
+    name = F.substring_index(F.substring_index(F.schema_of_variant(value), "(", 1), "<", 1)
+    known = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return F.when(value.isNull(), "missing").otherwise(F.coalesce(known[name], F.lit("string")))
 
 
-def _fits(kind: Column, wanted: str) -> Column:
-    return kind.isin("integer", "number") if wanted == "number" else kind == wanted
+def _misfits(kind: Column, wanted: Column) -> Column:
+    return (kind != wanted) & ~((wanted == "number") & (kind == "integer"))
 
 
 def field_problems(manifests: DataFrame, fields=FIELDS, *, key: str = "capture", text: str = "manifest") -> DataFrame:
-    """(key, field, kind): fields that are missing or of another type; a text that is not JSON has one row, field null."""
+    """(key, field, kind): fields that are missing or of another type; a text that is not JSON has one row, field null.
+
+    Each field is looked up and named once a manifest, as an element of an array: in a chain of conditions it would be again
+    for every one of them."""
     parsed = manifests.select(key, F.try_parse_json(F.col(text)).alias("_v"))
-    checks = []
-    for name, wanted in fields:
-        kind = json_kind(F.variant_get("_v", "$." + name, "variant"))
-        checks.append(F.when(~_fits(kind, wanted), F.struct(F.lit(name).alias("field"), kind.alias("kind"))))
-    broken = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit("not json").alias("kind")))
-    found = F.when(F.col("_v").isNull(), broken).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    values = F.array(*[F.struct(F.lit(name).alias("field"), F.lit(wanted).alias("wanted"), F.variant_get("_v", "$." + name, "variant").alias("value")) for name, wanted in fields])
+    named = F.transform(values, lambda x: F.struct(x["field"].alias("field"), x["wanted"].alias("wanted"), json_kind(x["value"]).alias("kind")))
+    broken = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("wanted"), F.lit("not json").alias("kind")))
+    found = F.when(F.col("_v").isNull(), broken).otherwise(F.filter(named, lambda x: _misfits(x["kind"], x["wanted"])))
     return parsed.select(key, F.explode(found).alias("p")).select(key, "p.field", "p.kind")
 
 
