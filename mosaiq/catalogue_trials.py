@@ -95,14 +95,13 @@ def _ranged(s, d, parts: int):
 
 
 def _slots(s, d, parts: int = 3):
-    """Every part is taken by a run of its own, which finds the state of the one before in the shared folder."""
+    """Every part is taken by a run of its own, which finds the state that the one before left in the shared folder."""
     folder = shared_folder(s, "stream")
     for rows in _ranged(s, d, parts):
         rows.write.mode("append").parquet(f"{folder}/in")
         frames = s.readStream.schema("job long, frame long, done boolean").parquet(f"{folder}/in")
-        run = stream.doubled(frames).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
-    return s.read.parquet(f"{folder}/out")
+        stream.started(frames, folder).awaitTermination()
+    return stream.doubled(s, folder)
 
 
 QUERIES = {
