@@ -7,7 +7,7 @@ continuation counts and discounts come from groupings and joins of n-gram string
 start keep their raw counts, as no other context precedes them. A model is stored as additive parts: each n-gram's gain over
 its shorter form and each context's backoff weight, so a word's log probability is the sum of what its n-grams find.
 
-Scoring is a sharded join. A slice (about `SLICE` text bytes) packs the sorted 48-bit keys of its distinct n-grams into one row
+Scoring is a sharded join. A slice (about `SLICE` bytes, see `slices`) packs the sorted 48-bit keys of its distinct n-grams into one row
 per shard of the model; in the shard's partition the model's rows come first and the questions stream past them, and the
 answers go back to the slice in the order asked. A worker holds one shard of the model (about `SHARD` n-grams) or one slice.
 
@@ -209,8 +209,9 @@ def _packed(batch: pa.RecordBatch) -> bytes:
 
 
 def slices(docs: DataFrame, names: list[str]) -> DataFrame:
-    """Rows (slice, rows, words): documents in order of reading, about SLICE text bytes a row: their columns `names` and
-    their words, each packed and compressed; written, so that slice names stay. docs also has _mq_text."""
+    """Rows (slice, rows, words): documents in order of reading, about SLICE bytes a row: their columns `names` and their
+    words, each packed and compressed; written, so that slice names stay. docs also has _mq_text. Carried columns count
+    twice, as they are held packed and unpacked beside the words: with their texts in them, a slice has a third of the texts."""
     place = docs.columns.index("_mq_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +224,7 @@ def slices(docs: DataFrame, names: list[str]) -> DataFrame:
 
         for batch in common.by_bytes(batches, place):
             held.append(batch)
-            size += pc.sum(pc.binary_length(batch.column(place))).as_py() or 0
+            size += (pc.sum(pc.binary_length(batch.column(place))).as_py() or 0) + 2 * batch.select(names).nbytes
             if size >= SLICE:
                 row = close()
                 held, size = [], 0
@@ -427,7 +428,7 @@ def score(sliced: DataFrame, model: DataFrame, start: tuple[float, float], colum
                 logp, ratio, count = type_scores(words, keys, parts, start, order)
                 n, total, worst = (np.concatenate(x) for x in zip(*_by_document(words, logp, ratio, count)))
                 kept = rows.select(columns.names).append_column("_mq_n", pa.array(n)).append_column("_mq_logp", pa.array(total))
-                yield from kept.append_column("_mq_window", pa.array(worst, from_pandas=True)).to_batches()
+                yield from kept.append_column("_mq_window", pa.array(worst, from_pandas=True)).to_batches(max_chunksize=1000)
 
     both = model.select("gram", *names).mapInArrow(held, ASKED).unionAll(sliced.select("slice", "words").mapInArrow(wanted, ASKED))
     both = both.repartition(partitions, "shard").sortWithinPartitions("shard", "kind")
