@@ -83,11 +83,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def materialise_by(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As `materialise`, in buckets of `key`, as many as shuffle partitions: a join by that key leaves this side in place."""
+    """As `materialise`, in buckets of `key`, as many as shuffle partitions: a join by that key leaves this side in place.
+    The catalogue's entry goes at once, as the plan holds the files and their buckets; the files stay."""
     spark = df.sparkSession
     table = f"mosaiq_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", new_path(spark, name, table)).bucketBy(shuffle_partitions(spark), key).saveAsTable(table)
-    return spark.table(table)
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return rows
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
